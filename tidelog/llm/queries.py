@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import substring
+from tidelog.llm import neardup, substring
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    copies = classes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return copies.select("doc_id", "class_id", "class_size")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring.remove_repeats(docs, window=20, joined=True)
@@ -19,6 +25,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
