@@ -94,9 +94,9 @@ def gram_starts(bounds: np.ndarray, n: int) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (int64, one more than rows) and bytes of a string column; null counts as empty."""
-    column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    """Offsets (int64, one more than rows) and bytes of a string or binary column; null counts as empty."""
+    column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     raw = column.buffers()
     if not len(column):
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
