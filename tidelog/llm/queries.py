@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidelog.llm import bpe, chat, mixing, neardup, sharding, substring
+from tidelog.llm import bpe, chat, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(sharding.assign_shards(slim, 16), columns=("doc_id", "size", "text_crc32"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.held_out_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=4, fold_out=2)
+    return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     copies = classes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -34,6 +39,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.as_events(chats.union(extra))))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.held_out_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), folds=5, fold_out=0)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     mixed = mixing.mix_to_weights(docs, weights=(5, 2, 1), repeats=3, size=F.col("words"))
@@ -55,8 +65,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_toxicity": op7_toxicity,
     "op8_source_mixing": op8_source_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substring_dedup": op10_substring_dedup,
