@@ -11,7 +11,7 @@ position in seven is an anchor.
    earliest of each task, shuffled by hash and ranked by (doc_id, start). All but the first go.
 
 The merged sketch has `depth` rows of 2**`bits` cells, of which one bit each ("twice or more") is
-broadcast: 32 MB at the defaults, whatever the input. A corpus with many more anchors than cells
+broadcast: 64 MB at the defaults, whatever the input. A corpus with many more anchors than cells
 only makes the prefilter let more windows through; results stay exact.
 """
 
@@ -108,24 +108,24 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["block", "twice"])
 
 
-def repeated_sketch(df: DataFrame, window: int = 20, bits: int = 27, depth: int = 2) -> dict[int, bytes]:
-    """By block of cells, a bit for each cell that counts two or more: depth * 2**bits bits at most."""
+def repeated_sketch(df: DataFrame, window: int = 20, bits: int = 27, depth: int = 4) -> tuple[np.ndarray, bytes]:
+    """Numbers of the blocks that have cells of two or more, and those blocks, a bit for each cell: depth * 2**bits bits at most."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _merged(batches)
 
     rows = df.select("text").mapInArrow(_partial_sketches(window, bits, depth), "block int, cells binary").groupBy("block").applyInArrow(merge, "block int, twice binary").collect()
-    return {row.block: bytes(row.twice) for row in rows}
+    return np.array([row.block for row in rows], np.int64), b"".join(row.twice for row in rows)
 
 
 class _Sketch:
     """Answers, inside a task, whether an anchor is estimated to occur twice or more."""
 
-    def __init__(self, blocks: dict[int, bytes], bits: int, depth: int) -> None:
+    def __init__(self, blocks: np.ndarray, packed: bytes, bits: int, depth: int) -> None:
         self.bits, self.depth = bits, depth
         self.slot = np.full((depth << bits) >> _BLOCK_BITS, -1, np.int64)
-        self.slot[list(blocks)] = np.arange(len(blocks))
-        self.packed = np.frombuffer(b"".join(blocks.values()), np.uint8)
+        self.slot[blocks] = np.arange(len(blocks))
+        self.packed = np.frombuffer(packed, np.uint8)
 
     def twice(self, grams: np.ndarray) -> np.ndarray:
         out = np.ones(len(grams), bool)
@@ -164,14 +164,16 @@ def _emit_windows(window: int, held: Callable[[], _Sketch], id_column: str) -> C
     """Rows of candidate windows: the earliest of each hash in this task, and runs of starts known to be repeats."""
 
     def reduced(held_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h1, h2, doc, at = (np.concatenate(x) for x in zip(*held_rows, strict=True))
+        columns = [np.concatenate(x) for x in zip(*held_rows, strict=True)]
+        h1, h2, doc, at = columns
         order = np.lexsort((at, doc, h2, h1))
         h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
         same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         head = np.r_[True, ~same]
+        first = np.sort(order[head])  # in order of documents again: ids and places next to each other compress
         lead = np.maximum.accumulate(np.where(head, np.arange(len(h1)), 0))
         later = (doc != doc[lead]) | (at != at[lead])
-        yield _window_batch(h1[head], h2[head], doc[head], at[head], np.zeros(int(head.sum()), np.int32))
+        yield _window_batch(*(x[first] for x in columns), np.zeros(len(first), np.int32))
         doc, at = doc[later], at[later]
         if len(doc):
             order = np.lexsort((at, doc))
@@ -256,7 +258,7 @@ def _finish(schema_names: list[str], window: int, joined: bool, ranges_column: s
     return run
 
 
-def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", joined: bool = False, bits: int = 27, depth: int = 2) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", joined: bool = False, bits: int = 27, depth: int = 4) -> DataFrame:
     """The documents without the words of windows whose word sequence starts earlier in the corpus.
 
     Earlier means a smaller id, or the same document and an earlier start; windows are judged on the
@@ -276,7 +278,7 @@ def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", j
 
     def held() -> _Sketch:
         if not cache:
-            cache.append(_Sketch(blocks.value, bits, depth))
+            cache.append(_Sketch(*blocks.value, bits, depth))
         return cache[0]
 
     windows = df.select(id_column, "text").mapInArrow(_emit_windows(window, held, id_column), _WINDOW_ROWS)
