@@ -18,17 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder, so that a lost executor does not recompute what led here."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def table(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder: column pruning works on what is read back."""
+    """The rows as Parquet in the shared folder, made once: a lost executor does not recompute what led here."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidelog.llm import bpe, chat, mixing, neardup, quality, sharding, substring, toxicity
+from tidelog.llm import bpe, chat, fingerprint, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     copies = classes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
@@ -66,6 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
