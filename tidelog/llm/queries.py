@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidelog.llm import bpe, chat, fingerprint, mixing, neardup, quality, sharding, substring, toxicity
+from tidelog.llm import ann, bpe, chat, fingerprint, mixing, neardup, quality, sharding, substring, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "class_id", "class_size")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_toxicity": op7_toxicity,
     "op8_source_mixing": op8_source_mixing,
