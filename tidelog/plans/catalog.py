@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidelog.plans import base, broker_queries, log_queries, progress_queries  # noqa: F401  importing registers
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
 FLAGSHIP = "a6_consumer_lag"
