@@ -60,3 +60,10 @@ def test_stretches_keep_their_spacing(spark):
     df = spark.createDataFrame([(1, body), (2, "x\ny " + body + "\tp\tq"), (3, "as\tit is")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in remove_repeats(df).collect()}
     assert got == {1: body, 2: "x\ny p\tq", 3: "as\tit is"}
+
+
+def test_query_against_sql(spark, sf_dir):
+    from tests import oracle
+    from tidelog.llm import queries
+
+    oracle.check(spark, queries.op10_substring_dedup, queries.ORACLES["op10_substring_dedup"], sf_dir)

@@ -138,7 +138,26 @@ SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(k.copies, 0) * q
 FROM queued q LEFT JOIN kept k ON q.key = k.key AND q.source IS NOT DISTINCT FROM k.source AND q.doc_id IS NOT DISTINCT FROM k.doc_id AND q.size = k.size
 """
 
+_REPEATS_SQL = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM split WHERE len(words) >= 20)
+), firsts AS (
+    SELECT h, min({'d': doc_id, 'i': i}) AS first FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN firsts USING (h), (SELECT unnest(range(20)) AS k) WHERE doc_id <> first.d OR i <> first.i
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "op10_substring_dedup": _REPEATS_SQL,
     "op6_chat_formatting": _CHAT_SQL,
     "op8_source_mixing": _MIX_SQL,
 }
