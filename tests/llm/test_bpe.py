@@ -26,11 +26,24 @@ def odd_texts():
     return texts + ["", " ", "a" * 5000, "ab" * 3000, "日" * 700, "<|endoftext|>", "x" + " " * 999 + "y", "é" * 2001]
 
 
-def test_same_ids_as_the_library(ranks, reference):
+def test_same_ids_as_the_library(ranks, reference, monkeypatch):
     encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    texts = odd_texts()
     for _ in range(2):  # the second time from memory
-        for text in odd_texts():
-            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference.encode_ordinary(text), text
+        for text, ids in zip(texts, encoder.encode_all(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(text), text
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 40)
+    for text in texts * 2:
+        assert np.frombuffer(encoder.encode_all([text])[0], "<u4").tolist() == reference.encode_ordinary(text), text
+    assert encoder.encode_all([None, ""]) == [b"", b""]
+
+
+def test_rows_of_pieces_as_single_ones(ranks):
+    rng = random.Random(8)
+    pairs = bpe.Pairs(ranks)
+    for size in (2, 3, 8, 9, 31, 64):
+        pieces = [bytes(rng.choice(b"etaoin shr\xc3\xa9") for _ in range(rng.randrange(2, size + 1))) for _ in range(200)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.merge_rows(pieces, pairs)] == [bpe.merge(p, ranks) for p in pieces]
 
 
 def test_leftmost_of_equal_ranks_and_long_pieces():

@@ -138,7 +138,7 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     if not slim.groupBy("k").count().filter("count > 1").isEmpty():  # equal rows get keys of their own
         copy = F.row_number().over(Window.partitionBy("k").orderBy("id"))
         docs, slim = (x.withColumn("k", F.concat_ws(":", "k", copy)) for x in (docs, slim))
-    rows = docs.select("k", "text")
+    rows = docs.select("k", "text").repartition("k")  # the one shuffle of whole texts; all that follows keeps to it
     pairs = table(followers(slim, [F.col("id").desc_nulls_last(), F.col("k")]))
 
     own = with_fingerprint(rows.join(found_terms(rows, "k", ["text"], words), "k", "left"), "text_found", "next_print")
