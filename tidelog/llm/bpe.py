@@ -201,15 +201,6 @@ class Encoder:
         return [b"".join([new[p] if p in new else held[p] for p in pieces]) for pieces in cut]
 
 
-def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces = self.find(text)
-        found = list(map(self.memo.get, pieces))
-        if None in found:
-            found = [self.packed(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return b"".join(found)
-
-
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Adds n_tokens and `ids` (binary, little-endian unsigned 32-bit) of column `text`; columns of these names are replaced.
 
