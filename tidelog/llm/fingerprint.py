@@ -141,13 +141,25 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = docs.select("k", "text").repartition("k")  # the one shuffle of whole texts; all that follows keeps to it
     pairs = table(followers(slim, [F.col("id").desc_nulls_last(), F.col("k")]))
 
-    own = with_fingerprint(rows.join(found_terms(rows, "k", ["text"], words), "k", "left"), "text_found", "next_print")
+    own = with_fingerprint(rows.join(found_terms(rows, "k", ["text"], words), "k", "left"), "text_found", "print")
     needs = pairs.select(F.col("next_key").alias("k"), F.col("k").alias("taker"), "id", "n_chars", F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
-    gifts = own.join(needs, "k").select(F.col("taker").alias("k"), "id", "n_chars", "take", F.left("text", F.col("take")).alias("gift"), "next_print")
-    edited = F.concat(F.left("text", (F.col("n_chars") - F.col("take")).cast("int")), F.col("gift"))
-    both = rows.join(gifts, "k").select("k", "id", "n_chars", "text", edited.alias("edited"), "next_print")
-    found = found_terms(both, "k", ["text", "edited"], words)
-    out = both.select("k", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_print").join(found, "k", "left")
-    out = with_fingerprint(with_fingerprint(out, "text_found", "fingerprint"), "edited_found", "edited_fingerprint")
+    # each document sends its fingerprint to itself too, so that nobody's is made twice; as one struct, so that both uses below read one shuffle
+    def sent(to: str, *fields: Column) -> Column:
+        names = {"id": "long", "n_chars": "long", "take": "int", "gift": "string", "next_print": "string", "own_print": "string"}
+        return F.struct(F.col(to).alias("k"), F.struct(*(x.cast(kind).alias(name) for x, (name, kind) in zip(fields, names.items(), strict=True))).alias("what"))
+
+    none = F.lit(None)
+    given = sent("taker", F.col("id"), F.col("n_chars"), F.col("take"), F.left("text", F.col("take")), F.col("print"), none)
+    kept = sent("k", none, none, none, none, none, F.col("print"))
+    dealt = own.join(needs, "k").select(F.explode(F.array(given, kept)).alias("sent")).select("sent.*").repartition("k")
+    gifts = dealt.groupBy("k").agg(F.collect_list("what").alias("what"))
+    gift = F.filter("what", lambda x: x["own_print"].isNull())[0]
+    mine = F.filter("what", lambda x: x["own_print"].isNotNull())[0]["own_print"]
+    both = rows.join(gifts, "k").select("k", "text", gift.alias("gift"), mine.alias("fingerprint"))
+    edited = F.concat(F.left("text", (F.col("gift.n_chars") - F.col("gift.take")).cast("int")), F.col("gift.gift"))
+    both = both.select("k", "gift.id", "gift.n_chars", edited.alias("edited"), "fingerprint", "gift.next_print")
+    found = found_terms(both, "k", ["edited"], words)
+    out = both.select("k", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_print").join(found, "k", "left")
+    out = with_fingerprint(out, "edited_found", "edited_fingerprint")
     near = [likeness(F.col("fingerprint"), F.col(x)) for x in ("edited_fingerprint", "next_print")]
     return out.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
