@@ -4,9 +4,10 @@ Unit vectors are turned by fast pseudo-rotations (three rounds of random signs a
 transform) and assigned to the nearest signed axis. A query looks in every table into the buckets of
 its `probes` nearest axes. All vectors met are scored exactly on the original vectors.
 
-Vectors of unequal lengths get one more coordinate that brings them to equal length, which turns the
-largest inner product into the nearest direction. Buckets are cut into blocks of vectors and of
-queries, so no bucket meets in a single task, and each pair of blocks gives a query's best only. Of
+Directions are hashed, whatever the lengths. A long vector can be among the nearest at a wide angle,
+where probes miss it; so vectors longer than LONG times the median, which are at most half of all, make
+one more bucket that every query looks into. Buckets are cut into blocks of vectors and of queries, so
+no bucket meets in a single task, and each pair of blocks gives a query's best only. Of
 equal vectors only the k + 1 least ids can be among anybody's k nearest, so only those are searched;
 equal queries are searched once.
 """
@@ -24,6 +25,8 @@ from tidelog.llm._stage import table
 
 #: Tables and probed buckets in each. On the test embeddings (64 numbers, 500 to 51,000 vectors) recall at 20 is above 0.9.
 TABLES, PROBES = 8, 16
+#: From this ratio to the median length on, vectors are compared with every query; and the bucket that holds them.
+LONG, WHOLE = 1.1, 1 << 60
 #: Vectors, and queries, of a block.
 BLOCK = 2048
 _ROWS = 512
@@ -41,9 +44,19 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / math.sqrt(n)
 
 
+def _size(width: int) -> int:
+    return 1 << max(1, (width - 1).bit_length())
+
+
+def probes_of(width: int) -> int:
+    """Probes in each table for vectors of `width` numbers: PROBES of the 128 signed axes at 64, and a growing share of the axes beyond."""
+    size = _size(width)
+    return max(PROBES, int(PROBES * size / 64 * (1 + math.log2(size / 64) / 4)))
+
+
 def signed_axes(unit: np.ndarray, number: int) -> np.ndarray:
     """Projections of unit vectors on all signed axes after pseudo-rotation `number`."""
-    size = 1 << max(1, (unit.shape[1] - 1).bit_length())
+    size = _size(unit.shape[1])
     y = np.zeros((len(unit), size))
     y[:, : unit.shape[1]] = unit
     rng = np.random.default_rng(1000 + number)
@@ -75,7 +88,9 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _hashed(width: int, longest: float, even: bool, tables: int, hashes: int, probes: int, query: bool):
+def _hashed(width: int, longest: float, long: float, tables: int, hashes: int, probes: int, query: bool):
+    """Rows with their buckets; `longest` is the greatest length of the indexed vectors, those beyond `long` are in WHOLE."""
+
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, _ROWS):
@@ -83,12 +98,12 @@ def _hashed(width: int, longest: float, even: bool, tables: int, hashes: int, pr
                 x = _matrix(part.column(1), width)
                 norms = np.sqrt((x * x).sum(axis=1))
                 unit = x / norms[:, None]
-                if not even:
-                    rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
-                    unit = np.column_stack([unit if query else x / longest, rest])
                 found = [buckets(unit, t, hashes, probes if query else 1) for t in range(tables)]
                 names = np.concatenate([f + (np.int64(t) << 48) for t, f in enumerate(found)], axis=1)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(list(names), pa.list_(pa.int64()))], ["id", "v", "buckets"])
+                if query and longest > long:
+                    names = np.column_stack([names, np.full(len(names), WHOLE)])
+                lists = list(names) if query else [np.array([WHOLE]) if far else row for far, row in zip(norms > long, names, strict=True)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int64()))], ["id", "v", "buckets"])
 
     return run
 
@@ -105,13 +120,14 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k:
     return out
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query's rows other than its own, by inner product.
 
     `queries` are rows of the same form. Every row of `df` is indexed. `score` is the inner product of
     the original vectors in double precision; ties go to the smaller id. Vectors that are null, zero or
     hold null or non-finite numbers take no part on either side, nor do null ids; of rows with equal
-    ids and vectors one counts. Shorter vectors count as if zeros followed. `hashes` (rotations that
+    ids and vectors one counts. Shorter vectors count as if zeros followed. `probes` follows from the
+    number of axes unless given. `hashes` (rotations that
     name a bucket together) follows from the number of rows: one up to a million, one more for each
     factor of the number of axes. An empty table gives an empty table.
     """
@@ -128,14 +144,15 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     indexed = table(every.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"))
     asked = table(usable(queries).distinct().withColumn("mark", mark))
     distinct = asked.groupBy("mark", "v").agg(F.min("id").alias("id"))
-    shape = indexed.agg(F.max(norm).alias("longest"), F.min(norm).alias("least"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
+    shape = indexed.agg(F.max(norm).alias("longest"), F.percentile_approx(norm, 0.5).alias("median"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     width = max(shape.width or 1, 1)
     if hashes is None:
         hashes = 1 + int(math.log(max(1, shape.n / 1_000_000)) / math.log(4 * width))
-    even = not shape.n or shape.least >= 0.999 * shape.longest
+    probes = probes or probes_of(width)
+    longest, long = shape.longest or 0.0, LONG * (shape.median or 0.0)
 
     def dealt(rows: DataFrame, query: bool) -> DataFrame:
-        made = rows.mapInArrow(_hashed(width, shape.longest, even, tables, hashes, probes, query), "id long, v array<double>, buckets array<long>")
+        made = rows.mapInArrow(_hashed(width, longest, long, tables, hashes, probes, query), "id long, v array<double>, buckets array<long>")
         return made.select("id", "v", F.explode("buckets").alias("bucket"))
 
     left, right = dealt(distinct.select("id", "v"), True), dealt(indexed, False)
