@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import ann
 
@@ -42,3 +43,11 @@ def test_recall_of_unequal_lengths_and_wide_vectors(spark, kind):
     found, _ = recall(spark, x)
     print(f"recall {kind}: {found:.4f}")
     assert found >= 0.9
+
+
+def test_recall_does_not_fall_with_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 10**12)
+    monkeypatch.setattr(ann.F, "count", lambda *_: F.max(F.lit(10**9)))  # every count says a thousand million
+    found, least = recall(spark, given(spark))
+    print(f"recall of a large table: {found:.4f}, least rows {least}")
+    assert found >= 0.9

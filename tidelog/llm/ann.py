@@ -88,7 +88,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _hashed(width: int, longest: float, long: float, tables: int, hashes: int, probes: int, query: bool):
+def _hashed(width: int, longest: float, long: float, tables: int, probes: int, query: bool):
     """Rows with their buckets; `longest` is the greatest length of the indexed vectors, those beyond `long` are in WHOLE."""
 
     def run(batches):
@@ -98,7 +98,7 @@ def _hashed(width: int, longest: float, long: float, tables: int, hashes: int, p
                 x = _matrix(part.column(1), width)
                 norms = np.sqrt((x * x).sum(axis=1))
                 unit = x / norms[:, None]
-                found = [buckets(unit, t, hashes, probes if query else 1) for t in range(tables)]
+                found = [buckets(unit, t, 1, probes if query else 1) for t in range(tables)]
                 names = np.concatenate([f + (np.int64(t) << 48) for t, f in enumerate(found)], axis=1)
                 if query and longest > long:
                     names = np.column_stack([names, np.full(len(names), WHOLE)])
@@ -120,16 +120,15 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k:
     return out
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None, hashes: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query's rows other than its own, by inner product.
 
     `queries` are rows of the same form. Every row of `df` is indexed. `score` is the inner product of
     the original vectors in double precision; ties go to the smaller id. Vectors that are null, zero or
     hold null or non-finite numbers take no part on either side, nor do null ids; of rows with equal
     ids and vectors one counts. Shorter vectors count as if zeros followed. `probes` follows from the
-    number of axes unless given. `hashes` (rotations that
-    name a bucket together) follows from the number of rows: one up to a million, one more for each
-    factor of the number of axes. An empty table gives an empty table.
+    number of axes unless given, not from the number of rows: one rotation names a bucket at every size.
+    An empty table gives an empty table.
     """
 
     def usable(rows: DataFrame) -> DataFrame:
@@ -144,15 +143,13 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     indexed = table(every.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"))
     asked = table(usable(queries).distinct().withColumn("mark", mark))
     distinct = asked.groupBy("mark", "v").agg(F.min("id").alias("id"))
-    shape = indexed.agg(F.max(norm).alias("longest"), F.percentile_approx(norm, 0.5).alias("median"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
+    shape = indexed.agg(F.max(norm).alias("longest"), F.percentile_approx(norm, 0.5).alias("median"), F.max(F.size("v")).alias("width")).first()
     width = max(shape.width or 1, 1)
-    if hashes is None:
-        hashes = 1 + int(math.log(max(1, shape.n / 1_000_000)) / math.log(4 * width))
     probes = probes or probes_of(width)
     longest, long = shape.longest or 0.0, LONG * (shape.median or 0.0)
 
     def dealt(rows: DataFrame, query: bool) -> DataFrame:
-        made = rows.mapInArrow(_hashed(width, longest, long, tables, hashes, probes, query), "id long, v array<double>, buckets array<long>")
+        made = rows.mapInArrow(_hashed(width, longest, long, tables, probes, query), "id long, v array<double>, buckets array<long>")
         return made.select("id", "v", F.explode("buckets").alias("bucket"))
 
     left, right = dealt(distinct.select("id", "v"), True), dealt(indexed, False)
