@@ -51,3 +51,10 @@ def test_recall_does_not_fall_with_the_number_of_rows(spark, monkeypatch):
     found, least = recall(spark, given(spark))
     print(f"recall of a large table: {found:.4f}, least rows {least}")
     assert found >= 0.9
+
+
+@pytest.mark.parametrize("rows", [21, 12])
+def test_few_candidates_are_all_returned(spark, rows):
+    found, least = recall(spark, given(spark)[:rows], every=1)
+    print(f"recall of {rows} rows: {found:.4f}, least rows {least}")
+    assert found == 1 and least == min(20, rows - 1)

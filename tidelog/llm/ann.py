@@ -9,7 +9,8 @@ where probes miss it; so vectors longer than LONG times the median, which are at
 one more bucket that every query looks into. Buckets are cut into blocks of vectors and of queries, so
 no bucket meets in a single task, and each pair of blocks gives a query's best only. Of
 equal vectors only the k + 1 least ids can be among anybody's k nearest, so only those are searched;
-equal queries are searched once.
+equal queries are searched once. Queries that meet too few vectors are compared with all, in the same
+blocks.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k:
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int | None = None) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each query's rows other than its own, by inner product.
+    """(query_id, rank, id, score): the k nearest found of each query's rows other than its own, by inner product; all if there are fewer.
 
     `queries` are rows of the same form. Every row of `df` is indexed. `score` is the inner product of
     the original vectors in double precision; ties go to the smaller id. Vectors that are null, zero or
@@ -143,7 +144,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
     indexed = table(every.withColumn("place", place).filter(F.col("place") <= k + 1).drop("place"))
     asked = table(usable(queries).distinct().withColumn("mark", mark))
     distinct = asked.groupBy("mark", "v").agg(F.min("id").alias("id"))
-    shape = indexed.agg(F.max(norm).alias("longest"), F.percentile_approx(norm, 0.5).alias("median"), F.max(F.size("v")).alias("width")).first()
+    shape = indexed.agg(F.max(norm).alias("longest"), F.percentile_approx(norm, 0.5).alias("median"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     width = max(shape.width or 1, 1)
     probes = probes or probes_of(width)
     longest, long = shape.longest or 0.0, LONG * (shape.median or 0.0)
@@ -152,10 +153,6 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
         made = rows.mapInArrow(_hashed(width, longest, long, tables, probes, query), "id long, v array<double>, buckets array<long>")
         return made.select("id", "v", F.explode("buckets").alias("bucket"))
 
-    left, right = dealt(distinct.select("id", "v"), True), dealt(indexed, False)
-    counts = [x.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)) for x, name in ((left, "parts"), (right, "blocks"))]
-    blocks = counts[0].join(counts[1], "bucket")
-
     def block(number: str) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(7)), F.col(number)).cast("int")
 
@@ -163,8 +160,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
         return F.explode(F.sequence(F.lit(0), F.col(number) - 1))
 
     columns = [F.col(x).alias(x) for x in ("bucket", "part", "block", "id", "v")]
-    left = left.join(blocks, "bucket").withColumn("part", block("parts")).withColumn("block", every_of("blocks")).select(*columns)
-    right = right.join(blocks, "bucket").withColumn("block", block("blocks")).withColumn("part", every_of("parts")).select(*columns)
+    keys = ("bucket", "part", "block")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         found = []
@@ -174,9 +170,22 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "ve
         asking = np.repeat(a.column("id").to_numpy()[: len(found)], [len(f[0]) for f in found]) if found else np.zeros(0)
         return pa.table([pa.array(asking, pa.int64()), pa.array(ids[0], pa.int64()), pa.array(scores[0], pa.float64())], ["asking", "id", "score"])
 
-    keys = ("bucket", "part", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "asking long, id long, score double").distinct()
-    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k + 1)
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The k + 1 best of every query of `left` among the vectors of `right` that share a bucket with it."""
+        counts = [x.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)) for x, name in ((left, "parts"), (right, "blocks"))]
+        blocks = counts[0].join(counts[1], "bucket")
+        left = left.join(blocks, "bucket").withColumn("part", block("parts")).withColumn("block", every_of("blocks")).select(*columns)
+        right = right.join(blocks, "bucket").withColumn("block", block("blocks")).withColumn("part", every_of("parts")).select(*columns)
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "asking long, id long, score double").distinct()
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "id"))).filter(F.col("place") <= k + 1)
+
+    ranked = table(met(dealt(distinct.select("id", "v"), True), dealt(indexed, False)))
+    enough = ranked.groupBy("asking").count().filter(F.col("count") >= min(k + 1, shape.n)).select(F.col("asking").alias("id"))
+    short = table(distinct.select("id", "v").join(enough, "id", "left_anti"))
+    if not short.isEmpty():
+        whole = F.lit(WHOLE).alias("bucket")
+        exact = met(short.select("id", "v", whole), indexed.select("id", "v", whole))
+        ranked = ranked.join(short.select(F.col("id").alias("asking")), "asking", "left_anti").unionByName(exact)
     same = asked.select("mark", "v", F.col("id").alias("query_id")).join(distinct.withColumnRenamed("id", "asking"), ["mark", "v"]).select("query_id", "asking")
     own = ranked.join(same, "asking").filter("id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
