@@ -9,8 +9,8 @@ second signature with all weights equal, which makes it comparable by plain Jacc
 
 Documents that agree on all registers of a band share a bucket. Equal texts are collapsed first. In
 every bucket the text that meets most others in its buckets is compared with the rest. Whatever is
-then still outside its bucket's main class is compared with all texts of that class, in blocks, and
-with the other texts outside; in wide buckets the latter must share a second band. Comparisons are
+then still outside its bucket's main class is compared with all texts of that class, and with the
+other texts outside, in blocks where there are many. Comparisons are
 exact and on whole texts; classes are the connected components of the pairs that pass.
 """
 
@@ -31,8 +31,7 @@ from tidelog.llm._text import Words, chunks, mix, named, rolled, signed
 REGISTERS, BANDS, ROWS = 128, 25, 5
 #: Up to so many keys (under 50 MB as rows) a side is broadcast; beyond, it is shuffled.
 BROADCAST_KEYS = 500_000
-#: Buckets with more texts outside their main class than this are divided by a second band before their pairs are made
-#: (a pair at 0.8 shares a single band with probability 6e-4); classes of more texts are compared in blocks.
+#: Classes of more texts than this, and buckets with more outside their main class, are compared in blocks.
 WIDE = 16
 #: Texts on either side of a block.
 BLOCK = 256
@@ -162,7 +161,10 @@ def similarities(left: pa.Array, right: pa.Array, size: int, threshold: float) -
 
 
 def block_links(outside: pa.Table, members: pa.Table, size: int, threshold: float) -> pa.Table:
-    """Every near pair of a text outside a class (node, text) with one of a block of its members (node, text)."""
+    """Every near pair of a text outside a class (node, text) with one of a block of its members (node, text).
+
+    If the rows have a class as well, only pairs of different classes.
+    """
     docs, hashes, _ = shingles(_text.words(members.column("text").combine_chunks()), size)
     order = np.argsort(hashes, kind="stable")
     docs, hashes = docs[order], hashes[order]
@@ -182,6 +184,9 @@ def block_links(outside: pa.Table, members: pa.Table, size: int, threshold: floa
         b.append(np.flatnonzero((share >= threshold) | (mass >= threshold)))
         a.append(np.full(len(b[-1]), i))
     a, b = np.concatenate(a), np.concatenate(b)
+    if "class" in outside.column_names:
+        differ = outside.column("class").to_numpy()[a] != members.column("class").to_numpy()[b]
+        a, b = a[differ], b[differ]
     near = np.zeros(len(a), bool)
     for begin in range(0, len(a), 512):
         part = slice(begin, begin + 512)
@@ -261,19 +266,33 @@ def _in_blocks(outside: DataFrame, labelled: DataFrame, sizes: DataFrame, texts:
     return left.cogroup(right).applyInArrow(run, "a string, b string")
 
 
+def _among_in_blocks(outside: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts (node) of different classes (root) that share a bucket: every block with itself and each later one."""
+    shape = outside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = outside.join(shape, "bucket").withColumn("here", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = [F.col(x).alias(y) for x, y in (("bucket", "bucket"), ("block", "block"), ("part", "part"), ("node", "node"), ("root", "class"), ("text", "text"))]
+    left, right = (dealt.withColumn(own, F.col("here")).withColumn(other, each).filter("part <= block") for own, other in (("part", "block"), ("block", "part")))
+    left, right = (x.join(texts, "node").select(*columns).groupBy("bucket", "block", "part") for x in (left, right))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table([pa.array([], pa.string()), pa.array([], pa.string())], ["a", "b"])
+        return block_links(a, b, size, threshold)
+
+    return left.cogroup(right).applyInArrow(run, "a string, b string")
+
+
 def _remaining_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame, tested: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links between texts that share a bucket and are in different classes so far."""
     labelled = table(buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
     counts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     shape = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), (F.sum("n") - F.max("n")).alias("outside"))
-    outside = table(labelled.join(shape.filter("classes > 1").drop("classes"), "bucket").filter("root <> main"))
-
-    # texts that meet outside in a narrow bucket, or in two wide ones; in other buckets one of them is of the main class
-    narrow = outside.filter(F.col("outside") <= WIDE).select("bucket", "node", "root")
-    wide = outside.filter(F.col("outside") > WIDE).select("node", "root", "bucket")
-    twice = wide.join(wide.select("node", F.col("bucket").alias("band")), "node").filter("bucket < band")
-    divided = twice.select(F.xxhash64("bucket", "band").alias("bucket"), "node", "root")
-    among = narrow.unionByName(divided)
+    outside = table(labelled.join(shape.filter("classes > 1"), "bucket").filter("root <> main"))
+
+    # of two texts that meet in a bucket both are outside, or one is of the main class
+    among = outside.filter(F.col("outside") <= WIDE).select("bucket", "node", "root")
+    wide = outside.filter((F.col("outside") > WIDE) & (F.col("classes") > 2)).select("bucket", "node", "root")
     other = among.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
     among = among.join(other, "bucket").filter("node > b AND root <> root_b").select(F.col("node").alias("a"), "b")
 
@@ -283,7 +302,8 @@ def _remaining_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame, tes
     few = against.filter(F.col("n") <= WIDE).join(members.withColumnRenamed("node", "b"), "root").select(F.col("node").alias("a"), "b")
     pairs = _ordered(among.union(few)).join(tested, ["a", "b"], "left_anti")
     blocks = _in_blocks(against.filter(F.col("n") > WIDE).select("node", "root"), members, sizes, texts, size, threshold)
-    return verified(pairs, texts, size, threshold).union(blocks)
+    links = verified(pairs, texts, size, threshold).union(blocks)
+    return links if wide.isEmpty() else links.union(_among_in_blocks(wide, texts, size, threshold))
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", size: int = 5, threshold: float = 0.8) -> DataFrame:
