@@ -25,6 +25,21 @@ def truth(attrs: Column, key: str) -> Column:
     return F.coalesce(F.lower(text(attrs, key)) == "true", F.lit(False))
 
 
+def moment(attrs: Column, key: str) -> Column:
+    """The attribute, milliseconds of the epoch, as a time; a missing one is null, one that is no number fails the query."""
+    return F.timestamp_millis(text(attrs, key).cast("long")).cast("timestamp_ntz")
+
+
+#: Fixed value: the attribute that marks a message whose attributes cannot be read.
+CORRUPT = "corruptData"
+
+
+def decoded(text_: Column) -> Column:
+    """Attributes from a JSON text; where that is broken, only the mark of corrupt data."""
+    read = F.from_json(text_, "map<string,string>")
+    return F.when(read.isNull() & text_.isNotNull(), F.create_map(F.lit(CORRUPT), F.lit("true"))).otherwise(read)
+
+
 def parts(value: Column, size: int) -> Column:
     """A long text as pieces of `size` characters; a text within the size is one piece."""
     count = F.greatest(F.ceil(F.length(value) / size), F.lit(1)).cast("int")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import subjects
 from tidelog.operators.progress import CONSUMER
-from tidelog.operators.sequence import gaps, ranges
+from tidelog.operators.sequence import gaps, ranges, running_sum
 
 
 def deliveries(pulls: DataFrame) -> DataFrame:
@@ -16,6 +16,17 @@ def deliveries(pulls: DataFrame) -> DataFrame:
     return pulls.withColumn("_step", steps).select(*CONSUMER, (F.col("first_pull") + F.col("_step")).alias("pull_seq"), (F.col("first_msg") + F.col("_step")).alias("seq"), F.col("ts").alias("pull_ts"))
 
 
+def assigned(taken: DataFrame, order: str, broadcast: Column) -> DataFrame:
+    """Messages taken by consumers (first_msg, last_msg) with their places in the consumer's pulls.
+
+    Places go on from the last pull; in broadcast mode they are those of the messages.
+    """
+    counted = running_sum(taken.withColumn("_n", F.col("last_msg") - F.col("first_msg") + 1), CONSUMER, [order], "_n", "_upto")
+    first = F.when(broadcast, F.col("first_msg")).otherwise(F.col("_upto") - F.col("_n"))
+    last = F.when(broadcast, F.col("last_msg")).otherwise(F.col("_upto") - 1)
+    return counted.withColumns({"first_pull": first, "last_pull": last}).drop("_n", "_upto")
+
+
 def translated(requests: DataFrame, delivered: DataFrame) -> DataFrame:
     """Wanted (consumer, pull_seq) with the message's sequence, -1 where nothing was pulled there."""
     return requests.join(delivered.select(*CONSUMER, "pull_seq", "seq"), [*CONSUMER, "pull_seq"], "left").withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
@@ -87,6 +98,7 @@ def without_gone(delivered: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Idempotent consumption: of the rows with one key the first."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """Idempotent consumption: of the rows with one key the first; found before rows are shuffled, too, so a hot key is no burden."""
+    whole = F.struct(*(F.col(c) for c in [*order, *(c for c in df.columns if c not in order)]))
+    first = df.groupBy(*key).agg(F.min(whole).alias("_first"))
+    return first.select(*(F.col("_first")[c].alias(c) for c in df.columns))

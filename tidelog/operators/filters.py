@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions import subjects
+from tidelog.functions import attrs, subjects
 from tidelog.operators.sequence import ranges
 
 
@@ -64,6 +64,29 @@ def ready_prefix(df: DataFrame, keys: list[str], order: str, ready: Column) -> D
     return df.join(first, keys).filter(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")
 
 
+def retry_ready(time: Column, now: Column, seconds: int = 5) -> Column:
+    """Whether a retry message has waited long enough to be seen."""
+    return time + F.make_dt_interval(secs=F.lit(seconds)) <= now
+
+
+def hooked(df: DataFrame, hooks: list[tuple[str, Column]]) -> DataFrame:
+    """The rows with `handled` and `ran`, the hooks in the order they ran.
+
+    Hooks run before a message in order, up to the first that refuses it; after it those that ran run
+    again, last one first. A message is handled if none refuses it.
+    """
+    refused = F.coalesce(*(F.when(~F.coalesce(passes, F.lit(False)), F.lit(i + 1)) for i, (_, passes) in enumerate(hooks)))
+    names = F.slice(F.array(*(F.lit(name) for name, _ in hooks)), F.lit(1), F.coalesce(refused, F.lit(len(hooks))))
+    before, after = F.transform(names, lambda x: F.concat(F.lit("pre "), x)), F.transform(F.reverse(names), lambda x: F.concat(F.lit("post "), x))
+    return df.withColumns({"handled": refused.isNull(), "ran": F.concat(before, after)})
+
+
+def for_protocol(df: DataFrame, version: str, least: int = 8) -> DataFrame:
+    """Messages as clients of a protocol version read them: old ones know no tags."""
+    old = F.col(version) < least
+    return df.withColumns({"tags": F.when(~old, F.col("tags")), "flag": F.when(old, F.col("flag").bitwiseAND(F.lit(~attrs.TAGGED))).otherwise(F.col("flag"))})
+
+
 def consumer_outcome(df: DataFrame, at_most_once: bool, group: str) -> DataFrame:
     """The rows with `outcome`: `delivered`, or why the client acks them unread."""
     outcome = (

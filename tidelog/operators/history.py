@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import subjects
@@ -34,6 +34,21 @@ def trail(records: DataFrame, keys: DataFrame) -> DataFrame:
     return records.join(keys.select("subject", "seq").distinct(), ["subject", "seq"], "left_semi")
 
 
+def retry_metas(index: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """The retry messages of the last days, once each however often they are indexed."""
+    recent = (F.col("create_time") > now - F.make_dt_interval(days=F.lit(days))) & (F.col("create_time") <= now)
+    return index.filter(subjects.is_retry(F.col("subject")) & recent).select("message_id", "subject", "seq").distinct()
+
+
+def dead_trail(records: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """(message_id, seq, at, group) of the dead records (row_key, value) of wanted messages (code, message_id), so many of each at most."""
+    begin = wanted.select("message_id", F.concat("code", F.md5("message_id")).alias("_begin")).distinct()
+    met = records.withColumn("_begin", F.substring("row_key", 1, 38)).join(begin, "_begin")
+    first = met.withColumn("_place", F.row_number().over(Window.partitionBy("_begin").orderBy("row_key"))).filter(F.col("_place") <= most)
+    part = F.split("value", r"\|", 3)
+    return first.select("message_id", part[0].cast("long").alias("seq"), F.timestamp_millis(part[1].cast("long")).cast("timestamp_ntz").alias("at"), part[2].alias("group"))
+
+
 def retry_trail(log: DataFrame, records: DataFrame, ids: DataFrame) -> DataFrame:
     """Pulls and acks of the retry messages with the given ids."""
     metas = log.filter(subjects.is_retry(F.col("subject"))).join(ids, "message_id", "left_semi").select("subject", "seq").distinct()

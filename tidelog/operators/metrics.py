@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,39 @@ def timer(df: DataFrame, tags: list[str], value: str, exact: bool = False) -> Da
     return found.select(*tags, "n", *(F.element_at("q", i + 1).alias(x) for i, x in enumerate(("p50", "p75", "p99"))))
 
 
+def exported(df: DataFrame, labels: list[str], values: list[str]) -> DataFrame:
+    """(name, labels, value) of every number of every row, as a scraper reads them."""
+    named = F.concat_ws(",", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in labels))
+    each = F.array(*(F.struct(F.lit(x).alias("name"), named.alias("labels"), F.col(x).cast("double").alias("value")) for x in values))
+    return df.select(F.explode(each).alias("sample")).select("sample.*")
+
+
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and what an action on them will have measured on the way."""
+    seen = Observation(name)
+    return df.observe(seen, *(m.alias(k) for k, m in measures.items())), seen
+
+
+def broker_counters(pulls: DataFrame, acks: DataFrame, most: int) -> DataFrame:
+    """(subject, group, name, value) of what a broker counts for each group; counters that stayed 0 have no row."""
+    size = F.col("last_pull") - F.col("first_pull") + 1
+    one = F.lit(1)
+    pulled = pulls.select("subject", "group", F.array(_counted("pull requests", one), _counted("pulled messages", size), _counted("short pulls", (size < most).cast("int"))).alias("counts"))
+    acked = acks.select("subject", "group", F.array(_counted("ack requests", one), _counted("acked messages", size), _counted("duplicate acks", size * F.col("again"))).alias("counts"))
+    each = pulled.unionByName(acked).select("subject", "group", F.explode("counts").alias("c")).groupBy("subject", "group", "c.name").agg(F.sum("c.value").alias("value"))
+    return each.filter("value > 0")
+
+
+def _counted(name: str, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), value.cast("long").alias("value"))
+
+
+def consumption(df: DataFrame, tags: list[str], created: str, pulled: str, handled_ms: Column, failed: Column) -> DataFrame:
+    """(tags, n, longest_delay, handled_ms, longest_ms, failures): from creation to pull, and the handling itself."""
+    late = F.unix_millis(F.col(pulled).cast("timestamp")) - F.unix_millis(F.col(created).cast("timestamp"))
+    return df.groupBy(*tags).agg(F.count("*").alias("n"), F.max(late).alias("longest_delay"), F.sum(handled_ms).alias("handled_ms"), F.max(handled_ms).alias("longest_ms"), F.count_if(failed).alias("failures"))
+
+
 def gauge(df: DataFrame, tags: list[str], value: str, time: str) -> DataFrame:
     """(tags, value) as last set; of several settings at one time the largest."""
     return df.groupBy(*tags).agg(F.max(F.struct(time, value)).alias("_last")).select(*tags, F.col(f"_last.{value}").alias("value"))

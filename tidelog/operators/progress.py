@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.sequence import running_max
+
 GROUP = ["subject", "group"]
 CONSUMER = ["subject", "group", "consumer_id"]
 
@@ -27,8 +29,8 @@ def consumer_progress(pulls: DataFrame, acks: DataFrame) -> DataFrame:
 
 def skips(actions: DataFrame, keys: list[str], lo: str, hi: str, order: str) -> DataFrame:
     """Actions that begin after the place that should follow what was seen before, with `missing` places."""
-    before = F.max(hi).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return actions.withColumn("missing", F.col(lo) - before - 1).filter("missing > 0")
+    seen = running_max(actions, keys, [order], hi, "_before")
+    return seen.withColumn("missing", F.col(lo) - F.col("_before") - 1).drop("_before").filter("missing > 0")
 
 
 def lag(log: DataFrame, pulls: DataFrame) -> DataFrame:
@@ -37,6 +39,11 @@ def lag(log: DataFrame, pulls: DataFrame) -> DataFrame:
     return group_progress(pulls).join(ends, "subject").select(*GROUP, (F.col("max_seq") - F.col("max_pulled")).alias("lag"))
 
 
+def replay_lag(log: DataFrame, replayed: DataFrame) -> DataFrame:
+    """(replayer, behind) of rows (replayer, iterated): offsets of the log that are not replayed yet."""
+    return replayed.select(*(c for c in replayed.columns if c != "iterated"), (log.agg(F.max("offset")).scalar() - F.col("iterated")).alias("behind"))
+
+
 def unacked(progress: DataFrame) -> DataFrame:
     return progress.select(*CONSUMER, (F.col("pull") - F.col("ack")).alias("unacked"))
 

@@ -23,8 +23,20 @@ def available(subjects: DataFrame, groups: DataFrame, default: str) -> DataFrame
     return chosen.join(usable, "tag").select("subject", "group_name")
 
 
-def unassigned(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
-    return candidates.join(assigned, ["subject", "group_name"], "left_anti")
+def _names(groups: DataFrame) -> Column:
+    """All groups' names as one array; broker groups are a dimension of at most some thousands."""
+    return groups.agg(F.array_sort(F.collect_set("group_name"))).scalar()
+
+
+def idle_groups(subjects: DataFrame, groups: DataFrame) -> DataFrame:
+    """(subject, group_name) of the groups that a subject could still be given."""
+    left = F.array_except(_names(groups), F.from_json("broker_groups", "array<string>"))
+    return subjects.select("subject", F.explode(left).alias("group_name"))
+
+
+def delay_route(clients: DataFrame, groups: DataFrame) -> DataFrame:
+    """(client_id, groups): producers of delayed messages send to any group of that kind."""
+    return clients.filter("client_type = 'producer'").select("client_id", _names(groups.filter("kind = 'delay'")).alias("groups"))
 
 
 def writable(routes: DataFrame, readonly: DataFrame) -> DataFrame:
@@ -85,11 +97,36 @@ def alive(beats: DataFrame, now: Column, seconds: int = 200) -> DataFrame:
     return beats.groupBy("client_id").agg(F.max("ts").alias("last_seen")).filter(F.col("last_seen") >= now - F.make_dt_interval(secs=F.lit(seconds)))
 
 
-def liveness(beats: DataFrame, keys: list[str], now: Column) -> DataFrame:
-    """(keys, last_seen, status): online, offline after three silent minutes, gone for ever after two days."""
+def slave_lag(seen: DataFrame, keys: list[str], time: str, written: str, copied: str, seconds: int = 5) -> DataFrame:
+    """(keys, caught_up, read_only) by reported positions: when the slave last had all, and whether that is too long ago."""
+    last = seen.groupBy(*keys).agg(F.max(F.when(F.col(copied) >= F.col(written), F.col(time))).alias("caught_up"), F.max(time).alias("_last"))
+    late = F.col("_last") - F.col("caught_up") > F.make_dt_interval(secs=F.lit(seconds))
+    return last.select(*keys, "caught_up", F.coalesce(late, F.lit(True)).alias("read_only"))
+
+
+# The bits of those who can switch a client off.
+SWITCHES = {"health": 1, "ops": 2, "code": 4}
+
+
+def switches(words: DataFrame, keys: list[str], source: str, on: str, order: str) -> DataFrame:
+    """(keys, state, switched_on): the bits that are on by the last word of each source; a client is on with all of them."""
+    last = words.groupBy(*keys, source).agg(F.max_by(on, order).alias("_on"))
+    bit = F.coalesce(*(F.when(F.col(source) == name, bit) for name, bit in SWITCHES.items()))
+    state = last.groupBy(*keys).agg(F.coalesce(F.bit_or(F.when(F.col("_on"), bit)), F.lit(0)).cast("long").alias("state"))
+    return state.withColumn("switched_on", F.col("state") == sum(SWITCHES.values()))
+
+
+def group_list(groups: DataFrame, routes: DataFrame) -> DataFrame:
+    """The groups with `subjects`, those that are routed to them."""
+    named = routes.groupBy("group_name").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    return groups.join(named, "group_name", "left").withColumn("subjects", F.coalesce("subjects", F.array().cast("array<string>")))
+
+
+def liveness(beats: DataFrame, keys: list[str], now: Column, gone: int = 2 * 24 * 60) -> DataFrame:
+    """(keys, last_seen, status): online, offline after three silent minutes, gone for ever after two days (in minutes)."""
     last = beats.groupBy(*keys).agg(F.max("ts").alias("last_seen"))
     silent = now - F.col("last_seen")
-    status = F.when(silent >= F.make_dt_interval(days=F.lit(2)), "forever").when(silent >= F.make_dt_interval(mins=F.lit(3)), "offline").otherwise("online")
+    status = F.when(silent >= F.make_dt_interval(mins=F.lit(gone)), "forever").when(silent >= F.make_dt_interval(mins=F.lit(3)), "offline").otherwise("online")
     return last.withColumn("status", status)
 
 

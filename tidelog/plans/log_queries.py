@@ -90,10 +90,13 @@ def snk9_global_sequence(spark, sf):
     return sequence.with_sequence(logs.read(spark, sf, "orders").select("o_orderkey"), [], "o_orderkey", first=1, segment=4096)
 
 
-@query("SELECT o_orderkey, o_orderkey % 3 AS state FROM orders WHERE o_orderkey % 5 <> 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 3 THEN -100 ELSE 0 END AS state FROM orders WHERE o_orderkey % 5 <> 0")
 def snk16_outbox_state(spark, sf):
-    outbox = logs.read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("state"))
-    return outbox.join(outbox.filter("o_orderkey % 5 = 0").select("o_orderkey"), "o_orderkey", "left_anti")
+    """All orders are put into the outbox; every fifth has been sent, and some others are blocked."""
+    from tidelog.operators.store import outbox
+
+    rows = logs.read(spark, sf, "orders").select("o_orderkey")
+    return outbox(rows, rows.filter("o_orderkey % 5 = 0"), rows.filter("o_orderkey % 7 = 3"), "o_orderkey").withColumnRenamed("status", "state")
 
 
 _CODES = LOGS + """, codes AS (SELECT subject, lpad(CAST(row_number() OVER (ORDER BY subject) AS VARCHAR), 6, '0') AS code FROM (SELECT DISTINCT subject FROM messages)),

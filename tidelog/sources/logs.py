@@ -6,43 +6,73 @@ the gapless place in their subject.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidelog.operators.sequence import with_sequence
+from tidelog.operators.sequence import read_prefix, with_sequence
+from tidelog.stage import shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where an application has written the derived logs, by (application, folder, log).
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], order: list[str]) -> DataFrame:
+    """A derived log, written once for each application and folder of tables, sorted inside files.
+
+    Reads push their filters on subject, sequence, offset or time down to its row groups. The tables
+    are taken to stay as they are while the application runs.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        df = make().sortWithinPartitions(*order)
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event; the subject is the event type, the offset the event id."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    rows = read(spark, sf_dir, "events").select(
-        F.col("event_type").alias("subject"),
-        F.col("event_id").alias("offset"),
-        F.concat(F.lit("m"), F.col("event_id")).alias("message_id"),
-        F.col("ts").alias("create_time"),
-        "user_id",
-        "value",
-        k.alias("k"),
-    )
+
+    def make() -> DataFrame:
+        k = F.get_json_object("props", "$.k").cast("long")
+        rows = read(spark, sf_dir, "events").select(
+            F.col("event_type").alias("subject"),
+            F.col("event_id").alias("offset"),
+            F.concat(F.lit("m"), F.col("event_id")).alias("message_id"),
+            F.col("ts").alias("create_time"),
+            "user_id",
+            "value",
+            k.alias("k"),
+        )
+        return with_sequence(rows, ["subject"], "offset")
+
+    rows = stored(spark, sf_dir, "messages", make, ["subject", "seq"])
     rows = rows.withColumn("tags", F.array(F.concat(F.lit("k"), F.col("k") % 3), F.concat(F.lit("p"), F.col("k") % 5)))
-    rows = rows.withColumn("times", (F.col("k") % 6 + 1).cast("long")).withColumn("max_retry", F.lit(3).cast("long"))
-    return with_sequence(rows, ["subject"], "offset")
+    return rows.withColumn("times", (F.col("k") % 6 + 1).cast("long")).withColumn("max_retry", F.lit(3).cast("long"))
 
 
 def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pull actions: two groups read each subject in blocks of 20, dealt to three consumers in turn."""
-    blocks = (
-        messages(spark, sf_dir)
-        .groupBy("subject", F.floor(F.col("seq") / 20).alias("block"))
-        .agg(F.min("seq").alias("first_msg"), F.max("seq").alias("last_msg"), F.max("create_time").alias("ts"))
-    )
-    dealt = blocks.withColumn("group", F.explode(F.array(F.lit("g0"), F.lit("g1")))).withColumn("consumer_id", F.concat(F.lit("c"), F.col("block") % 3))
-    # all blocks of a consumer before its last one are full
-    return dealt.withColumn("first_pull", F.floor(F.col("block") / 3) * 20).withColumn("last_pull", F.col("first_pull") + F.col("last_msg") - F.col("first_msg"))
+
+    def make() -> DataFrame:
+        rows = messages(spark, sf_dir).groupBy("subject", F.floor(F.col("seq") / 20).alias("block"))
+        blocks = rows.agg(F.min("seq").alias("first_msg"), F.max("seq").alias("last_msg"), F.max("create_time").alias("ts"))
+        dealt = blocks.withColumn("group", F.explode(F.array(F.lit("g0"), F.lit("g1")))).withColumn("consumer_id", F.concat(F.lit("c"), F.col("block") % 3))
+        # all blocks of a consumer before its last one are full
+        return dealt.withColumn("first_pull", F.floor(F.col("block") / 3) * 20).withColumn("last_pull", F.col("first_pull") + F.col("last_msg") - F.col("first_msg"))
+
+    return stored(spark, sf_dir, "pulls", make, ["subject", "group", "consumer_id", "first_pull"])
 
 
 def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +137,12 @@ def scan_between(log: DataFrame, start: int, end: int) -> DataFrame:
     return log.filter((F.col("offset") >= start) & (F.col("offset") < end))
 
 
+def cursor(log: DataFrame, start: int, most: int, size: Column) -> DataFrame:
+    """Up to so many rows from a start that is moved into the log's bounds, with `visited`, the size read so far."""
+    low = log.agg(F.min("offset")).scalar()
+    return read_prefix(log.filter(F.col("offset") >= F.greatest(F.lit(start), low)).withColumn("_size", size), ["offset"], most, "_size", 1 << 62, "visited").drop("_size")
+
+
 def valid_index(index: DataFrame) -> DataFrame:
     """Index records that can be read: a sequence of 0 or more, a time, a subject and an id."""
     return index.filter((F.col("seq") >= 0) & F.col("create_time").isNotNull() & (F.col("subject") != "") & (F.col("message_id") != ""))
@@ -124,3 +160,23 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
 def received_json(rows: DataFrame, column: str) -> DataFrame:
     """Adds `attrs`, the fields of a JSON object as text; numbers keep their digits (not an object: null)."""
     return rows.withColumn("attrs", F.from_json(F.col(column), "map<string,string>"))
+
+
+def typed_properties(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each property of the rows' JSON objects: `key`, `kind` and its `text`.
+
+    Whole numbers are `integer`, or `long` where they are too large for one, other numbers `double`;
+    there are `boolean`s, `string`s and `null`s, and all else is `other`, kept as JSON.
+    """
+    value = rows.withColumn("_v", F.try_parse_json(F.col(column)))
+    each = value.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    kind, number = F.schema_of_variant("value"), F.try_variant_get("value", "$", "long")
+    named = (
+        F.when(F.is_variant_null("value"), "null")
+        .when(kind == "BIGINT", F.when(number.between(-(1 << 31), (1 << 31) - 1), "integer").otherwise("long"))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "double")
+        .when(kind == "BOOLEAN", "boolean")
+        .when(kind == "STRING", "string")
+        .otherwise("other")
+    )
+    return each.withColumns({"kind": named, "text": F.try_variant_get("value", "$", "string")}).drop("_v", "pos", "value")

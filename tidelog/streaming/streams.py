@@ -7,7 +7,10 @@ holds is bounded by its watermark or by the number of keys.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.operators.delivery import acked_places, deliveries
 from tidelog.operators.progress import CONSUMER
+from tidelog.operators.retry import breaker_walk
+from tidelog.operators.sequence import with_sequence
 
 
 def log_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -22,20 +27,43 @@ def log_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def sequenced(stream: DataFrame, keys: list[str], order: str, key_schema: str, rest: list[str], rest_schema: str) -> DataFrame:
-    """The rows with `seq`, counted on from batch to batch in each key; inside a batch in the given order.
+def append_sequenced(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A writer that numbers the rows of each key (`seq`), on from batch to batch and in the given order inside a batch.
 
-    The state of a key is one number. Rows that come late are numbered when they come.
+    Rows go to path/rows/batch=n and the number that each key goes on with to path/next/batch=n, so a
+    batch that runs again finds what it found before and replaces itself. Rows that come late are
+    numbered when they come.
     """
 
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (next_seq,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        rows["seq"] = range(next_seq, next_seq + len(rows))
-        state.update((next_seq + len(rows),))
-        yield rows[[*keys, *rest, "seq"]]
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = with_sequence(batch, keys, order)
+        ends = rows.groupBy(*keys).agg((F.max("seq") + 1).alias("more"))
+        known = spark.read.parquet(f"{path}/next/batch={number - 1}") if number else spark.createDataFrame([], ends.withColumnRenamed("more", "next").schema)
+        same = [batch[k].eqNullSafe(known[k]) for k in keys]
+        begun = rows.join(known.select(*keys, "next"), reduce(and_, same), "left").select(*(rows[c] for c in batch.columns), (rows["seq"] + F.coalesce(known["next"], F.lit(0))).alias("seq"))
+        begun.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        both = known.select(*keys, F.col("next")).unionByName(ends.withColumnRenamed("more", "next"))
+        both.groupBy(*keys).agg(F.sum("next").alias("next")).write.mode("overwrite").parquet(f"{path}/next/batch={number}")
+
+    return write
+
+
+def process_once(path: str, key: list[str], handle: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A writer that handles each key once: a batch's results and their keys are one write, which later batches look into.
 
-    return stream.groupBy(*keys).applyInPandasWithState(number, f"{key_schema}, {rest_schema}, seq long", "next long", "append", GroupStateTimeout.NoTimeout)
+    As results and keys stand or fall together, no key is handled twice or lost, whichever batch is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(key)
+        if number:
+            done = spark.read.parquet(*(f"{path}/batch={n}" for n in range(number))).select(*key)
+            fresh = fresh.join(done, key, "left_anti")
+        handle(fresh).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def once(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
@@ -92,25 +120,11 @@ def breaker_states(calls: DataFrame, key: str, time: str, failures: int = 100, o
     """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, bad, good, opened = state.get if state.exists else ("closed", 0, 0, 0)
-        changes = []
-        for at, ok in pd.concat(list(frames)).sort_values(time)[[time, "ok"]].itertuples(index=False):
-            ms, before = int(at.timestamp() * 1000), now
-            if now == "open" and ms - opened >= open_ms:
-                now, good = "half-open", 0
-            if now == "closed":
-                bad = 0 if ok else bad + 1
-                if bad >= failures:
-                    now, opened = "open", ms
-            elif now == "half-open":
-                good = good + 1 if ok else 0
-                now, opened = ("open", ms) if not ok else ("closed" if good >= successes else now, opened)
-            if now == "closed" and before != "closed":
-                bad = 0
-            if now != before:
-                changes.append((keys[0], now, at))
-        state.update((now, bad, good, opened))
-        yield pd.DataFrame(changes, columns=[key, "state", "at"])
+        rows = pd.concat(list(frames)).sort_values(time, kind="stable")
+        ms = rows[time].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        now, changes = breaker_walk(state.get if state.exists else ("closed", 0, 0, 0), ms, rows["ok"].to_numpy(bool), failures, open_ms, successes)
+        state.update(now)
+        yield pd.DataFrame({key: [keys[0]] * len(changes), "state": [x for _, x in changes], "at": [rows[time].iloc[i] for i, _ in changes]})
 
     rows = calls.select(key, F.col(time).cast("timestamp").alias(time), "ok")
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, state string, at timestamp", "now string, bad long, good long, opened long", "append", GroupStateTimeout.NoTimeout)
