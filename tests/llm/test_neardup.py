@@ -96,7 +96,7 @@ def test_classes_against_all_pairs(spark, monkeypatch, wide):
 def test_wide_bucket_and_hot_group(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(neardup, "WIDE", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
     common = [f"c{k}" for k in range(60)]
     rows = [(i, " ".join(common + [f"u{rng.randrange(10**6)}" for _ in range(38)])) for i in range(80)]
     base = [f"b{k}" for k in range(200)]
@@ -139,13 +139,32 @@ def test_registers_estimate_probability_jaccard(share):
         pick = np.r_[[items[w] for w in a], [items[w] for w in b]]
         q = neardup.signatures(docs, h[pick], np.r_[wa, wb], 2)
         agree.append((q[0] == q[1]).mean())
-    exact = neardup.probability_jaccard(va, vb)
+    one = np.zeros(len(va), int)
+    exact = neardup.probability_jaccards(one, va, vb, 1)[0]
     counted = [Counter(dict(zip(x, w.tolist()))) for x, w in ((a, wa), (b, wb))]
-    assert abs(neardup.probability_jaccard(*(np.where(v > 0, neardup.weight_of(v), 0) for v in (va, vb))) - weighted(*counted)) < 1e-9
+    assert abs(neardup.probability_jaccards(one, *(np.where(v > 0, neardup.weight_of(v), 0) for v in (va, vb)), 1)[0] - weighted(*counted)) < 1e-9
     assert abs(np.mean(agree) - exact) < 0.025
 
 
 def test_similarities_of_texts():
     a, b = pa.array(["a b c d e f g", "x " * 30, None, "one"]), pa.array(["a b c d e f h", "x " * 40, "p q", "one"])
-    got = neardup.similarities(a, b, 5, 0.8)
-    assert np.allclose(got, [0.5, 1.0, 0.0, 1.0])
+    got = neardup.similarities(a, b, 5)
+    assert np.allclose(got, [[0.5, 1.0, 0.0, 1.0]] * 2)
+
+
+def test_similarities_of_many_counted_texts():
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefg") for _ in range(12)) for _ in range(6)]
+    left, right = ([" ".join(rng.choice(lines) for _ in range(rng.randrange(0, 9))) for _ in range(60)] for _ in "ab")
+    plain_, counted = neardup.similarities(pa.array(left), pa.array(right), 5)
+    assert np.allclose(plain_, [plain(grams(a), grams(b)) for a, b in zip(left, right)])
+    assert np.allclose(counted, [weighted(grams(a), grams(b)) for a, b in zip(left, right)])
+
+
+def test_distances_obey_the_triangle_inequality():
+    """One minus either similarity is a metric, which is what lets far texts be left out."""
+    rng = random.Random(8)
+    for _ in range(300):
+        x, y, z = (Counter(rng.choices("abcdefgh", k=rng.randrange(1, 20))) for _ in "xyz")
+        for f in (plain, weighted):
+            assert 1 - f(x, z) <= 2 - f(x, y) - f(y, z) + 1e-9

@@ -1,25 +1,26 @@
-"""Cutting lineage through the cluster's shared folder."""
+"""Intermediate tables, and column names that are free."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from tidelog.stage import Tables, table
 
+__all__ = ["Tables", "long_rows", "table", "unused"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests, one machine) a local folder is set."""
-    context = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if not (folder := context.getCheckpointDir()):
-        context.setCheckpointDir(folder := tempfile.mkdtemp(prefix="checkpoints-"))
-    return folder
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def table(df: DataFrame) -> DataFrame:
-    """The rows as Parquet in the shared folder, made once: a lost executor does not recompute what led here."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def long_rows(df: DataFrame) -> DataFrame:
+    """The table, its session set to hand texts to Python 1000 rows at a time where the setting is Spark's own 10,000."""
+    if df.sparkSession.conf.get(_ROWS) == "10000":
+        df.sparkSession.conf.set(_ROWS, "1000")
+    return df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of the table has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

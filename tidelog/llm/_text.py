@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in runs of about this many bytes; a longer text makes a run of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bytes that are hashed at once.
+BLOCK_BYTES = 1 << 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -46,15 +48,15 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
             for name, factor in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, factor, np.uint64)
+                steps = np.full(n + n // 4, factor, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
         return self.up[:n], self.down[:n]
 
 
 _POWERS = Powers()
+_SALT = np.uint64(0xA24BAED4963EE407)
 
 
 def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -63,7 +65,18 @@ def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=sums[1:])
     out = (sums[ends] - sums[starts]) * down[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return mix(out + (ends - starts).astype(np.uint64) * _SALT)
+
+
+def beginnings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
+    """Hash of the first `most` bytes (or all, if fewer) of each byte range."""
+    lengths = np.minimum(ends - starts, most)
+    out = lengths.astype(np.uint64) * _SALT
+    up, _ = _POWERS.upto(most)
+    for k in range(most):
+        long = np.flatnonzero(lengths > k)
+        out[long] += _BYTES[data[starts[long] + k]] * up[k]
+    return mix(out)
 
 
 @dataclass
@@ -106,20 +119,42 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array) -> Words:
-    """Words of each text of a string column (null: none)."""
+    """Words of each text of a string column (null: none).
+
+    Bytes are hashed BLOCK_BYTES at a time, so beside the words themselves the memory is bounded.
+    """
     offsets, data = buffers(column)
-    inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(_SPACES[data], out=inside[:-1])
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = offsets[:-1]
-    begins[first] = inside[first]  # a text begins a word even if the one before ends without a space
-    stops = inside.copy()
-    stops[:-1] &= ~inside[1:]
-    final = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-    stops[final] = inside[final]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Words(rolled(_BYTES[data], starts, ends), starts, ends, np.searchsorted(starts, offsets), data, offsets)
+    up, down = _POWERS.upto(BLOCK_BYTES + 1)
+    starts, ends, heads, tails, factors = [], [], [], [], []
+    inside_before, total, scale, unscale = False, np.uint64(0), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    for low in range(0, len(data), BLOCK_BYTES):
+        block = data[low : low + BLOCK_BYTES]
+        n = len(block)
+        inside = np.logical_not(_SPACES[block])
+        before = np.r_[inside_before, inside[:-1]]
+        text = np.zeros(n, bool)  # a text begins a word even if the one before ends without a space
+        text[offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, low + n)] - low] = True
+        begin, end = np.flatnonzero(inside & (~before | text)), np.flatnonzero(before & (~inside | text))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[block] * up[:n], out=sums[1:])
+        sums = total + sums * scale
+        starts.append(begin + low)
+        ends.append(end + low)
+        heads.append(sums[begin])
+        tails.append(sums[end])
+        factors.append(down[begin] * unscale)
+        inside_before, total = bool(inside[-1]), sums[n]
+        scale, unscale = scale * up[n], unscale * down[n]
+    if inside_before:
+        ends.append(np.array([len(data)]))
+        tails.append(np.array([total], np.uint64))
+    if not starts:
+        starts = ends = [np.zeros(0, np.int64)]
+        heads = tails = factors = [np.zeros(0, np.uint64)]
+    first, last = np.concatenate(starts), np.concatenate(ends)
+    hashes = (np.concatenate(tails) - np.concatenate(heads)) * np.concatenate(factors)
+    hashes = mix(hashes + (last - first).astype(np.uint64) * _SALT)
+    return Words(hashes, first, last, np.searchsorted(first, offsets), data, offsets)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

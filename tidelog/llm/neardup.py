@@ -10,8 +10,8 @@ second signature with all weights equal, which makes it comparable by plain Jacc
 Documents that agree on all registers of a band share a bucket. Equal texts are collapsed first. In
 every bucket the text that meets most others in its buckets is compared with the rest. Whatever is
 then still outside its bucket's main class is compared with all texts of that class, and with the
-other texts outside, in blocks where there are many. Comparisons are
-exact and on whole texts; classes are the connected components of the pairs that pass.
+other texts outside, in blocks where there are many; texts that the triangle inequality proves too
+far from all of that class are left out. Comparisons are exact and on whole texts; classes are the connected components of the pairs that pass.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.llm import _text
-from tidelog.llm._stage import table
+from tidelog.llm._stage import Tables, long_rows
 from tidelog.llm._text import Words, chunks, mix, named, rolled, signed
 
 #: Registers, a power of two; 25 bands of 5 use 125 of them. A pair at 0.8 shares no band with probability 5e-5.
@@ -33,8 +33,8 @@ REGISTERS, BANDS, ROWS = 128, 25, 5
 BROADCAST_KEYS = 500_000
 #: Classes of more texts than this, and buckets with more outside their main class, are compared in blocks.
 WIDE = 16
-#: Texts on either side of a block.
-BLOCK = 256
+#: Bytes of text on either side of a block, about.
+BLOCK = 1 << 19
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +98,8 @@ def _signed_rows(size: int):
         for batch in batches:
             for part in chunks(batch):
                 n = part.num_rows
-                docs, hashes, counts = shingles(_text.words(named(part, "text")), size)
+                found = _text.words(named(part, "text"))
+                docs, hashes, counts = shingles(found, size)
                 keys = signed(band_keys(signatures(docs, hashes, weight_of(counts), n)))
                 repeats = np.zeros(n, bool)
                 repeats[docs[counts > 1]] = True
@@ -109,27 +110,34 @@ def _signed_rows(size: int):
                 empty[docs] = False
                 second = dict(zip(again.tolist(), plain, strict=True))
                 bands = [[] if empty[i] else np.unique(np.r_[keys[i], second[i]]) if i in second else keys[i] for i in range(n)]
-                yield pa.record_batch([named(part, "id"), named(part, "node"), pa.array(bands, pa.list_(pa.int64()))], ["id", "node", "bands"])
+                yield pa.record_batch([named(part, "id"), named(part, "node"), pa.array(bands, pa.list_(pa.int64())), pa.array(found.offsets[1:] - found.offsets[:-1])], ["id", "node", "bands", "bytes"])
 
     return run
 
 
-def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """J_P of two weight vectors over the union of their items."""
-    both = (a > 0) & (b > 0)
-    if not both.any():
-        return 0.0
+def _sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Running sums that start anew at each of `begin`, the value itself included."""
+    upto = np.cumsum(values)
+    return upto - np.repeat(np.r_[0, upto[begin[1:] - 1]], np.diff(np.r_[begin, len(values)]))
+
+
+def probability_jaccards(docs: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """J_P of two weight vectors for each of n documents; rows are items with their weight on either side (0: not there)."""
+    if not len(docs):
+        return np.zeros(n)
     ratio = np.where(a > 0, b / np.where(a > 0, a, 1), np.inf)
-    order = np.argsort(ratio, kind="stable")
-    a, b, both, ratio = a[order], b[order], both[order], ratio[order]
-    below = np.r_[0, np.cumsum(a)]
-    above = b.sum() - np.r_[0, np.cumsum(b)]
-    at = np.searchsorted(ratio, ratio[both], "left")
-    return float((1 / (below[at] / a[both] + above[at] / b[both])).sum())
+    order = np.lexsort((ratio, docs))
+    docs, a, b = docs[order], a[order], b[order]
+    begin = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    below = _sums(a, begin) - a
+    each = np.diff(np.r_[begin, len(docs)])
+    above = np.repeat(np.add.reduceat(b, begin), each) - _sums(b, begin) + b
+    both = (a > 0) & (b > 0)
+    return np.bincount(docs[both], 1 / (below[both] / a[both] + above[both] / b[both]), n)
 
 
-def similarities(left: pa.Array, right: pa.Array, size: int, threshold: float) -> np.ndarray:
-    """For each row the plain Jaccard of its two texts, or, where that is below the threshold, the larger of it and J_P."""
+def similarities(left: pa.Array, right: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the plain Jaccard similarity of its two texts' shingles, and J_P of their counted ones."""
     n = len(left)
     sides = [shingles(_text.words(x), size) for x in (left, right)]
     docs, hashes = np.r_[sides[0][0], sides[1][0]], np.r_[sides[0][1], sides[1][1]]
@@ -141,23 +149,16 @@ def similarities(left: pa.Array, right: pa.Array, size: int, threshold: float) -
     new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
     begin = np.flatnonzero(new)
     if not len(begin):
-        return np.zeros(n)
+        return np.zeros(n), np.zeros(n)
     docs = docs[begin]
     weight_a, weight_b = np.add.reduceat(weight_a, begin), np.add.reduceat(weight_b, begin)
     both = (weight_a > 0) & (weight_b > 0)
-    union = np.bincount(docs, minlength=n)
-    out = np.bincount(docs[both], minlength=n) / np.maximum(union, 1)
+    plain = np.bincount(docs[both], minlength=n) / np.maximum(np.bincount(docs, minlength=n), 1)
     uneven = np.zeros(n, bool)
     uneven[docs[(weight_a > 1) | (weight_b > 1)]] = True
-    weight_a, weight_b = np.where(weight_a > 0, weight_of(weight_a), 0), np.where(weight_b > 0, weight_of(weight_b), 0)
-    most = np.ones(n)  # J_P is at most either side's share of weight in common
-    for weight in (weight_a, weight_b):
-        most = np.minimum(most, np.bincount(docs, weight * both, n) / np.maximum(np.bincount(docs, weight, n), 1e-300))
-    edges = np.searchsorted(docs, np.arange(n + 1))
-    for i in np.flatnonzero(uneven & (out < threshold) & (most >= threshold)):
-        span = slice(edges[i], edges[i + 1])
-        out[i] = max(out[i], probability_jaccard(weight_a[span], weight_b[span]))
-    return out
+    inside = uneven[docs]
+    counted = probability_jaccards(docs[inside], *(np.where(x > 0, weight_of(x), 0)[inside] for x in (weight_a, weight_b)), n)
+    return plain, np.where(uneven, counted, plain)
 
 
 def block_links(outside: pa.Table, members: pa.Table, size: int, threshold: float) -> pa.Table:
@@ -190,16 +191,17 @@ def block_links(outside: pa.Table, members: pa.Table, size: int, threshold: floa
     near = np.zeros(len(a), bool)
     for begin in range(0, len(a), 512):
         part = slice(begin, begin + 512)
-        near[part] = similarities(outside.column("text").take(pa.array(a[part])).combine_chunks(), members.column("text").take(pa.array(b[part])).combine_chunks(), size, threshold) >= threshold
+        found = similarities(outside.column("text").take(pa.array(a[part])).combine_chunks(), members.column("text").take(pa.array(b[part])).combine_chunks(), size)
+        near[part] = np.maximum(*found) >= threshold
     return pa.table([outside.column("node").take(pa.array(a[near])), members.column("node").take(pa.array(b[near]))], ["a", "b"])
 
 
-def _checked(size: int, threshold: float):
+def _measured(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text_b", _text.CHUNK_BYTES // 2):
-                near = similarities(named(part, "text_a"), named(part, "text_b"), size, threshold)
-                yield part.select(["a", "b"]).filter(pa.array(near >= threshold))
+                found = similarities(named(part, "text_a"), named(part, "text_b"), size)
+                yield pa.record_batch([named(part, "a"), named(part, "b"), *map(pa.array, found)], ["a", "b", "plain", "counted"])
 
     return run
 
@@ -213,20 +215,24 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes those whose texts are near."""
+def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of nodes with both similarities of their texts (`plain`, `counted`)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_checked(size, threshold), "a string, b string")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_measured(size), "a string, b string, plain double, counted double")
+
+
+def _near(threshold: float) -> Column:
+    return (F.col("plain") >= threshold) | (F.col("counted") >= threshold)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) of every node on an edge (a, b); the root is the least node of the connected component.
 
     Alternates the large star and the small star of every node until the edges stay as they are;
-    each round's edges are written to the shared folder.
+    each round's edges are written to the shared folder, and those of the round before deleted.
     """
-    edges = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = tables.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -234,12 +240,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
-        seen = Observation()
-        edges = table(small.distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("all")))
+        seen, old = Observation(), edges
+        edges = tables.table(small.distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("all")))
+        tables.drop(old)
         now = seen.get
         if now == before:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+            return tables.table(roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct())
         before = now
 
 
@@ -249,8 +256,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _in_blocks(outside: DataFrame, labelled: DataFrame, sizes: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links (a, b) between texts (node) and the classes (root) they are to be compared with."""
-    many = outside.groupBy("root").agg(F.count("*").alias("others"))
-    shape = sizes.join(many, "root").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("others") / BLOCK).cast("int").alias("parts"))
+    many = outside.groupBy("root").agg(F.sum("bytes").alias("others"))
+    shape = sizes.join(many, "root").select("root", F.ceil((F.col("bytes") + 1) / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("others") + 1) / BLOCK).cast("int").alias("parts"))
     here = F.pmod(F.xxhash64("node"), F.col("blocks"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     left = outside.join(shape, "root").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -268,7 +275,7 @@ def _in_blocks(outside: DataFrame, labelled: DataFrame, sizes: DataFrame, texts:
 
 def _among_in_blocks(outside: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """Links (a, b) between texts (node) of different classes (root) that share a bucket: every block with itself and each later one."""
-    shape = outside.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    shape = outside.groupBy("bucket").agg(F.ceil((F.sum("bytes") + 1) / BLOCK).cast("int").alias("blocks"))
     dealt = outside.join(shape, "bucket").withColumn("here", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = [F.col(x).alias(y) for x, y in (("bucket", "bucket"), ("block", "block"), ("part", "part"), ("node", "node"), ("root", "class"), ("text", "text"))]
@@ -283,26 +290,37 @@ def _among_in_blocks(outside: DataFrame, texts: DataFrame, size: int, threshold:
     return left.cogroup(right).applyInArrow(run, "a string, b string")
 
 
-def _remaining_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame, tested: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links between texts that share a bucket and are in different classes so far."""
-    labelled = table(buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+def _remaining_links(buckets: DataFrame, middle: DataFrame, roots: DataFrame, texts: DataFrame, tested: DataFrame, tables: Tables, size: int, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share a bucket and are in different classes so far.
+
+    One minus either similarity is a metric. A text that is further from a bucket's middle than all of
+    the bucket's main class, by more than 1 - threshold in both, is near none of them.
+    """
+    labelled = tables.table(buckets.join(roots, "node", "left").select("bucket", "node", "bytes", F.coalesce("root", "node").alias("root")))
     counts = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     shape = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), (F.sum("n") - F.max("n")).alias("outside"))
-    outside = table(labelled.join(shape.filter("classes > 1"), "bucket").filter("root <> main"))
+    mixed = labelled.join(shape.filter("classes > 1"), "bucket").join(middle, "bucket")
+    seen = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "plain", "counted")
+    mixed = mixed.join(seen, (F.greatest("node", "middle") == F.col("_a")) & (F.least("node", "middle") == F.col("_b")), "left").drop("_a", "_b")
+    mixed = tables.table(mixed.withColumns({x: F.when(F.col("node") == F.col("middle"), 0.0).otherwise(1 - F.col(x)) for x in ("plain", "counted")}))
+    reach = mixed.filter("root = main").groupBy("bucket").agg(*((F.max(F.coalesce(x, F.lit(1.0))) + (1 - threshold) + 1e-9).alias(f"{x}_reach") for x in ("plain", "counted")))
+    far = (F.col("plain") > F.col("plain_reach")) & (F.col("counted") > F.col("counted_reach"))
+    outside = tables.table(mixed.filter("root <> main").join(reach, "bucket").withColumn("far", F.coalesce(far, F.lit(False))))
 
     # of two texts that meet in a bucket both are outside, or one is of the main class
     among = outside.filter(F.col("outside") <= WIDE).select("bucket", "node", "root")
-    wide = outside.filter((F.col("outside") > WIDE) & (F.col("classes") > 2)).select("bucket", "node", "root")
+    wide = outside.filter((F.col("outside") > WIDE) & (F.col("classes") > 2)).select("bucket", "node", "bytes", "root")
     other = among.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
     among = among.join(other, "bucket").filter("node > b AND root <> root_b").select(F.col("node").alias("a"), "b")
 
-    members = table(labelled.select("node", "root").distinct())
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    against = table(outside.select("node", F.col("main").alias("root")).distinct().join(sizes, "root"))
-    few = against.filter(F.col("n") <= WIDE).join(members.withColumnRenamed("node", "b"), "root").select(F.col("node").alias("a"), "b")
+    members = tables.table(labelled.select("node", "bytes", "root").distinct())
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    against = outside.filter("NOT far").select("node", "bytes", F.col("main").alias("root")).distinct()
+    against = tables.table(against.join(sizes.select("root", "n"), "root"))
+    few = against.filter(F.col("n") <= WIDE).join(members.select(F.col("node").alias("b"), "root"), "root").select(F.col("node").alias("a"), "b")
     pairs = _ordered(among.union(few)).join(tested, ["a", "b"], "left_anti")
-    blocks = _in_blocks(against.filter(F.col("n") > WIDE).select("node", "root"), members, sizes, texts, size, threshold)
-    links = verified(pairs, texts, size, threshold).union(blocks)
+    blocks = _in_blocks(against.filter(F.col("n") > WIDE).select("node", "bytes", "root"), members, sizes, texts, size, threshold)
+    links = measured(pairs, texts, size).filter(_near(threshold)).select("a", "b").union(blocks)
     return links if wide.isEmpty() else links.union(_among_in_blocks(wide, texts, size, threshold))
 
 
@@ -320,26 +338,28 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", size: int = 5, thr
     only if all ids of a class are. Rows with one id and different texts are different documents.
     Other columns are not looked at. An empty table gives an empty table.
     """
-    spark = df.sparkSession
+    tables = Tables(long_rows(df).sparkSession)
     node = F.md5(F.coalesce("text", F.lit("")))
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), node.alias("node"))
-    rows = table(docs.mapInArrow(_signed_rows(size), "id long, node string, bands array<long>"))
-    nodes = table(rows.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    rows = tables.table(docs.mapInArrow(_signed_rows(size), "id long, node string, bands array<long>, bytes long"))
+    nodes = tables.table(rows.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")))
 
-    every = nodes.select("node", F.explode("bands").alias("bucket"))
+    every = nodes.select("node", "bytes", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = table(every.join(shared, "bucket"))
+    buckets = tables.table(every.join(shared, "bucket"))
     degrees = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
-    middle = buckets.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
-    stars = table(_ordered(buckets.select("bucket", F.col("node").alias("a")).join(middle, "bucket")))
-    wanted = _maybe_broadcast(table(buckets.select("node").distinct().join(nodes.select("node", "first_id"), "node")))
-    texts = table(docs.join(wanted, "node").filter(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"]))
-
-    links = table(verified(stars, texts, size, threshold))
-    roots = components(links)
-    more = table(_remaining_links(buckets.select("bucket", "node"), roots, texts, stars, size, threshold))
+    middle = tables.table(buckets.select("bucket", "node").join(degrees, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("middle")))
+    stars = tables.table(_ordered(buckets.select("bucket", F.col("node").alias("a")).join(middle, "bucket").select("a", F.col("middle").alias("b"))))
+    wanted = _maybe_broadcast(tables.table(buckets.select("node").distinct().join(nodes.select("node", "first_id"), "node")))
+    texts = tables.table(docs.join(wanted, "node").filter(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"]))
+
+    tested = tables.table(measured(stars, texts, size))
+    links = tested.filter(_near(threshold)).select("a", "b")
+    roots = components(links, tables)
+    more = tables.table(_remaining_links(buckets.select("bucket", "node", "bytes"), middle, roots, texts, tested, tables, size, threshold))
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = components(links.union(more), tables)
+    tables.keep_only(rows, nodes, roots)
     labelled = nodes.join(roots, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = labelled.join(classes, "root").select("node", "class_id", "class_size", F.col("root").alias("class_node"))
@@ -354,8 +374,8 @@ def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", size: int = 5
     chosen = classes.groupBy("class_node").agg(F.min_by(F.struct(F.col(id_column).alias("id"), "node", "rows"), order).alias("kept"))
     keep = chosen.select(F.col("kept.id").alias("_near_id"), F.col("kept.node").alias("_near_node"), F.col("kept.rows").alias("_near_rows"))
     node = F.md5(F.coalesce("text", F.lit("")))
-    rows = df.withColumn("_near_text", node)
-    kept = rows.join(keep, (F.col(id_column).cast("long").eqNullSafe(F.col("_near_id"))) & (F.col("_near_text") == F.col("_near_node")))
-    once = kept.filter("_near_rows = 1").select(*df.columns)
-    several = kept.filter("_near_rows > 1").dropDuplicates(["_near_id", "_near_node"]).select(*df.columns)
+    rows = df.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("_near_own"), node.alias("_near_text"))
+    kept = rows.join(keep, (F.col("_near_own").eqNullSafe(F.col("_near_id"))) & (F.col("_near_text") == F.col("_near_node")))
+    once = kept.filter("_near_rows = 1").select("row.*")
+    several = kept.filter("_near_rows > 1").dropDuplicates(["_near_id", "_near_node"]).select("row.*")
     return once.unionByName(several)

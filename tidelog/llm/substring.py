@@ -27,65 +27,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import _text
+from tidelog.llm._stage import long_rows, unused
 from tidelog.llm._text import Words, chunks, mix, named, rolled, signed
 
 #: Cells of the sketch that travel together.
 _BLOCK_BITS = 18
-#: A task's sketch or its windows are passed on when they reach this many.
-_FLUSH = 1 << 20
+#: A task passes its sketch on after so many anchors, its windows after so many, and looks at so many starts at once.
+_ANCHORS, _WINDOWS, _STEP = 1 << 20, 1 << 19, 1 << 15
 _LAST = np.int64(2**63 - 1)
 
 
-def _windows(found: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start word of each window, the anchor's start word of each, and the anchor grams' hashes by start word."""
+def _windows(found: Words, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start words of windows, the anchor's start word of each, and the hash of each anchor, _STEP windows at a time."""
     gram = max(1, window * 2 // 5)
-    starts = _text.gram_starts(found.bounds, window)
-    every = np.arange(max(0, len(found.hashes) - gram + 1))
-    grams = rolled(found.hashes, every, every + gram)
-    if not len(starts):
-        return starts, starts, grams
-    anchor, least = starts.copy(), grams[starts]
-    for shift in range(1, window - gram + 1):
-        there = grams[starts + shift]
-        lower = there < least
-        least[lower] = there[lower]
-        anchor[lower] = starts[lower] + shift
-    return starts, anchor, grams
+    every = _text.gram_starts(found.bounds, window)
+    for begin in range(0, len(every), _STEP):
+        starts = every[begin : begin + _STEP]
+        low, high = starts[0], starts[-1] + window
+        at = np.arange(high - low - gram + 1)
+        grams = rolled(found.hashes[low:high], at, at + gram)
+        anchor, least = starts.copy(), grams[starts - low]
+        for shift in range(1, window - gram + 1):
+            there = grams[starts - low + shift]
+            lower = there < least
+            least[lower] = there[lower]
+            anchor[lower] = starts[lower] + shift
+        yield starts, anchor, least
 
 
 def _distinct_run(sorted_values: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
     keep = np.ones(len(sorted_values), bool)
     keep[1:] = sorted_values[1:] != sorted_values[:-1]
-    return sorted_values[keep]
+    return keep
 
 
-def _cells(grams: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
-    width = np.uint64((1 << bits) - 1)
-    return [(mix(grams + np.uint64(row + 1) * np.uint64(0x632BE59BD9B4E019)) & width) + np.uint64(row << bits) for row in range(depth)]
+def _cells(grams: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The cell of each gram in one row of the sketch."""
+    salt = np.uint64((row + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+    return (mix(grams + salt) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def _partial_sketches(window: int, bits: int, depth: int) -> Callable:
     """Rows (block, cells): the distinct cells that one task saw, with a low bit for those seen more than once."""
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cells, counts = np.unique(np.concatenate(held), return_counts=True)
-        blocks = (cells >> np.uint64(_BLOCK_BITS)).astype(np.int64)
-        values = ((cells & np.uint64((1 << _BLOCK_BITS) - 1)) << np.uint64(1) | (counts > 1).astype(np.uint64)).astype(np.uint32)
-        names, begins = np.unique(blocks, return_index=True)
-        ends = [*begins[1:], len(blocks)]
-        yield pa.record_batch(
-            [pa.array(names.astype(np.int32)), pa.array([zlib.compress(np.diff(values[a:b], prepend=np.uint32(0)).tobytes(), 1) for a, b in zip(begins, ends, strict=True)], pa.binary())],
-            ["block", "cells"],
-        )
+        grams = np.concatenate(held)
+        for row in range(depth):
+            cells = np.sort(_cells(grams, bits, row))
+            begin = np.flatnonzero(_distinct_run(cells))
+            several = np.diff(np.r_[begin, len(cells)]) > 1
+            cells = cells[begin]
+            values = (cells & np.uint32((1 << _BLOCK_BITS) - 1)) << np.uint32(1) | several
+            names, begins = np.unique(cells >> np.uint32(_BLOCK_BITS), return_index=True)
+            ends = [*begins[1:], len(cells)]
+            blobs = [zlib.compress(np.diff(values[a:b], prepend=np.uint32(0)).tobytes(), 1) for a, b in zip(begins, ends, strict=True)]
+            yield pa.record_batch([pa.array(names.astype(np.int32) + (row << max(0, bits - _BLOCK_BITS))), pa.array(blobs, pa.binary())], ["block", "cells"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
             for part in chunks(batch):
-                _, anchors, grams = _windows(_text.words(named(part, "text")), window)
-                if len(anchors):
-                    held += _cells(grams[_distinct_run(anchors)], bits, depth)
-                if sum(map(len, held)) >= _FLUSH:
+                last = -1  # windows come in steps, and the first of a step may have the anchor of the last one before it
+                for _, anchors, grams in _windows(_text.words(named(part, "text")), window):
+                    held.append(grams[_distinct_run(anchors) & (anchors > last)])
+                    last = anchors[-1]
+                if sum(map(len, held)) >= _ANCHORS:
                     yield from packed(held)
                     held = []
         if held:
@@ -122,33 +129,32 @@ class _Sketch:
     """Answers, inside a task, whether an anchor is estimated to occur twice or more."""
 
     def __init__(self, blocks: np.ndarray, packed: bytes, bits: int, depth: int) -> None:
-        self.bits, self.depth = bits, depth
-        self.slot = np.full((depth << bits) >> _BLOCK_BITS, -1, np.int64)
+        self.bits, self.depth, self.each = bits, depth, 1 << max(0, bits - _BLOCK_BITS)
+        self.slot = np.full(depth * self.each, -1, np.int64)
         self.slot[blocks] = np.arange(len(blocks))
         self.packed = np.frombuffer(packed, np.uint8)
 
     def twice(self, grams: np.ndarray) -> np.ndarray:
-        out = np.ones(len(grams), bool)
-        for cells in _cells(grams, self.bits, self.depth):
-            slot = self.slot[(cells >> np.uint64(_BLOCK_BITS)).astype(np.int64)]
-            inside = (cells & np.uint64((1 << _BLOCK_BITS) - 1)).astype(np.int64)
+        found = np.arange(len(grams))
+        for row in range(self.depth):
+            cells = _cells(grams[found], self.bits, row).astype(np.int64)
+            slot = self.slot[(cells >> _BLOCK_BITS) + row * self.each]
             here = slot >= 0
-            bit = np.zeros(len(grams), bool)
-            place = slot[here] * (1 << (_BLOCK_BITS - 3)) + (inside[here] >> 3)
-            bit[here] = (self.packed[place] >> (7 - (inside[here] & 7)).astype(np.uint8)) & 1
-            out &= bit
+            found, slot, inside = found[here], slot[here], cells[here] & ((1 << _BLOCK_BITS) - 1)
+            bit = (self.packed[slot * (1 << (_BLOCK_BITS - 3)) + (inside >> 3)] >> (7 - (inside & 7)).astype(np.uint8)) & 1
+            found = found[bit > 0]
+        out = np.zeros(len(grams), bool)
+        out[found] = True
         return out
 
 
 def _candidates(found: Words, window: int, sketch: _Sketch) -> np.ndarray:
     """Start words of the windows that may be repeated."""
-    starts, anchors, grams = _windows(found, window)
-    if not len(starts):
-        return starts
-    distinct = _distinct_run(anchors)
-    flagged = np.zeros(len(grams), bool)
-    flagged[distinct] = sketch.twice(grams[distinct])
-    return starts[flagged[anchors]]
+    out = [np.zeros(0, np.int64)]
+    for starts, anchors, grams in _windows(found, window):
+        new = _distinct_run(anchors)
+        out.append(starts[sketch.twice(grams[new])[np.cumsum(new) - 1]])
+    return np.concatenate(out)
 
 
 def _keys(part: pa.RecordBatch, found: Words, id_column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +171,7 @@ def _emit_windows(window: int, held: Callable[[], _Sketch], id_column: str) -> C
 
     def reduced(held_rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held_rows, strict=True)]
+        held_rows.clear()
         h1, h2, doc, at = columns
         order = np.lexsort((at, doc, h2, h1))
         h1, h2, doc, at = h1[order], h2[order], doc[order], at[order]
@@ -195,13 +202,17 @@ def _emit_windows(window: int, held: Callable[[], _Sketch], id_column: str) -> C
                 if not len(starts):
                     continue
                 ids, marks = _keys(part, found, id_column)
-                of = np.searchsorted(found.bounds, starts, "right") - 1
-                h2 = (rolled(mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D)), starts, starts + window) >> np.uint64(33)).astype(np.int32)
-                rows.append((rolled(found.hashes, starts, starts + window), h2, ids[of], (marks[of] << 32) | (starts - found.bounds[of])))
-                count += len(starts)
-                if count >= _FLUSH:
-                    yield from reduced(rows)
-                    rows, count = [], 0
+                other = mix(found.hashes ^ np.uint64(0x5851F42D4C957F2D))
+                for begin in range(0, len(starts), _STEP):
+                    at = starts[begin : begin + _STEP]
+                    low, high = at[0], at[-1] + window
+                    h1, h2 = (rolled(x[low:high], at - low, at - low + window) for x in (found.hashes, other))
+                    of = np.searchsorted(found.bounds, at, "right") - 1
+                    rows.append((h1, (h2 >> np.uint64(33)).astype(np.int32), ids[of], (marks[of] << 32) | (at - found.bounds[of])))
+                    count += len(at)
+                    if count >= _WINDOWS:
+                        yield from reduced(rows)
+                        rows, count = [], 0
         if rows:
             yield from reduced(rows)
 
@@ -271,7 +282,8 @@ def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", j
     different words are ordered by a hash of their words. Shorter texts than a window keep all words.
     An empty table gives an empty table.
     """
-    df = df.drop("n_words", "n_removed")
+    df = long_rows(df.drop("n_words", "n_removed"))
+    doc, mark, held_ranges = (unused(df, x) for x in ("_sub_doc", "_sub_mark", "_sub_ranges"))
     spark = df.sparkSession
     blocks = spark.sparkContext.broadcast(repeated_sketch(df, window, bits, depth))
     cache: list[_Sketch] = []
@@ -287,8 +299,8 @@ def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", j
     packed = F.shiftleft(F.col("at").bitwiseAND(F.lit(low)), 31) + F.greatest("run", F.lit(1)).cast("long")
     repeats = (
         ranked.filter((F.col("run") > 0) | (F.col("place") > 1))
-        .groupBy(F.col("doc").alias("_sub_doc"), F.shiftright("at", 32).alias("_sub_mark"))
-        .agg(F.collect_list(packed).alias("_sub_ranges"))
+        .groupBy(F.col("doc").alias(doc), F.shiftright("at", 32).alias(mark))
+        .agg(F.collect_list(packed).alias(held_ranges))
     )
     text_type = df.schema
     names = df.columns
@@ -304,17 +316,17 @@ def remove_repeats(df: DataFrame, window: int = 20, id_column: str = "doc_id", j
                     keys = _keys(part, found, id_column)
                     chosen = pa.array(hit if touched else ~hit)
                     columns = [*part.columns, *map(pa.array, keys)] if touched else part.columns
-                    yield pa.record_batch(columns, [*names, "_sub_doc", "_sub_mark"][: len(columns)]).filter(chosen)
+                    yield pa.record_batch(columns, [*names, doc, mark][: len(columns)]).filter(chosen)
 
         return run
 
     out = T.StructType([*text_type.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    keyed = T.StructType([*text_type.fields, T.StructField("_sub_doc", T.LongType()), T.StructField("_sub_mark", T.LongType())])
+    keyed = T.StructType([*text_type.fields, T.StructField(doc, T.LongType()), T.StructField(mark, T.LongType())])
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _finish(names, window, joined, None)(split(False)(batches))
 
     clean = df.mapInArrow(untouched, out)
-    joined_rows = df.mapInArrow(split(True), keyed).join(repeats, ["_sub_doc", "_sub_mark"], "left").select(*names, "_sub_ranges")
-    cut = joined_rows.mapInArrow(_finish(names, window, joined, "_sub_ranges"), out)
+    joined_rows = df.mapInArrow(split(True), keyed).join(repeats, [doc, mark], "left").select(*names, held_ranges)
+    cut = joined_rows.mapInArrow(_finish(names, window, joined, held_ranges), out)
     return clean.unionByName(cut)
