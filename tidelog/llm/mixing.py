@@ -50,13 +50,18 @@ def targets(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int =
     return steps.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def _queued(df: DataFrame, goals: DataFrame, parts: DataFrame, id_column: str) -> DataFrame:
+def _queued(df: DataFrame, goals: DataFrame, parts: DataFrame) -> DataFrame:
     """Each row with its place in its source's queue: `_upto`, the words given when it is done the first time."""
-    ordered = Window.partitionBy("source", "_part").orderBy("_key", id_column, "_size")
-    placed = df.join(parts, df["source"].eqNullSafe(parts["_of"]) & (df["_part"] == parts["_part_of"]), "inner").drop("_of", "_part_of")
+    ordered = Window.partitionBy("_of", "_part").orderBy("_key", "_id", "_size")
+    placed = df.join(parts, ["_of", "_part"])  # by the keys of the window, so that rows are shuffled once
     placed = placed.withColumn("_upto", F.col("_before") + F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    named = goals.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    return placed.join(F.broadcast(named) if goals.count() <= 10_000 else named, placed["source"].eqNullSafe(named["_of"])).drop("_of")
+    named = goals.select(_named(F.col("source")).alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    return placed.join(F.broadcast(named) if goals.count() <= 10_000 else named, "_of")
+
+
+def _named(source: Column) -> Column:
+    """A source's name that is never null, in the order of sources."""
+    return F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
 def _finish(turn: Column | int) -> Column:
@@ -78,14 +83,16 @@ def mix_to_weights(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     """
     names = [x for x in df.columns if x not in ("size", "source_size", "target", "copies")]
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
-    keyed = df.withColumn("_size", word_count(F.col("text")) if size is None else size).withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
-    slim = table(keyed.select(id_column, "source", "_size", "_key", "_part"))
+    # the rows travel as one column, so that theirs and ours cannot clash
+    keyed = df.select(F.struct(*names).alias("row"), F.col(id_column).alias("_id"), F.col("source").alias("source"), (word_count(F.col("text")) if size is None else size).alias("_size"), key.alias("_key"))
+    keyed = keyed.withColumns({"_part": F.substring("_key", 1, 3), "_of": _named(F.col("source"))})
+    slim = table(keyed.select("_id", "source", "_of", "_size", "_key", "_part"))
     goals = table(targets(slim.select("source", F.col("_size").alias("size")), weights, repeats))
-    sums = slim.groupBy("source", "_part").agg(F.sum("_size").alias("_sum"))
-    so_far = Window.partitionBy("source").orderBy("_part")
-    parts = table(sums.select(F.col("source").alias("_of"), F.col("_part").alias("_part_of"), (F.sum("_sum").over(so_far) - F.col("_sum")).alias("_before")))
+    sums = slim.groupBy("_of", "_part").agg(F.sum("_size").alias("_sum"))
+    so_far = Window.partitionBy("_of").orderBy("_part")
+    parts = table(sums.select("_of", "_part", (F.sum("_sum").over(so_far) - F.col("_sum")).alias("_before")))
 
-    queue = table(_queued(slim, goals, parts, id_column).filter((F.col("_size") > 0) & (F.col("_target") > 0)).drop("_part"))
+    queue = table(_queued(slim, goals, parts).filter((F.col("_size") > 0) & (F.col("_target") > 0)).drop("_part"))
     turns = queue.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     items = turns.select("source", "_key", "turn", "_size", _finish(F.col("turn")).alias("finish")).withColumn("range", _range(F.col("finish")))
     ranges = items.groupBy("range").agg(F.sum("_size").alias("given"))
@@ -101,7 +108,7 @@ def mix_to_weights(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
     )
     cut = last.first()
 
-    taken = _queued(keyed, goals, parts, id_column)
+    taken = _queued(keyed, goals, parts)
 
     def inside(turn: int) -> Column:
         finish = _finish(turn)
@@ -115,4 +122,4 @@ def mix_to_weights(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats:
         return (mine <= end).cast("int")
 
     copies = F.when((F.col("_size") > 0) & (F.col("_target") > 0), sum((inside(turn) for turn in range(1, repeats)), inside(0))).otherwise(0)
-    return taken.select(*names, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
+    return taken.select("row.*", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"))
