@@ -4,6 +4,10 @@ A document is a bag of passages of PASSAGE words. Every passage is described by
 and of kinds of words and encoded by a small network; gated attention, learnt from the labels of whole
 documents, weighs the passages, and the weighted encoding is scored. Nothing tells the model which
 passage made a document bad.
+
+FOLDS networks are trained, each without one fold of the labelled documents. Their logits on the
+documents they did not see give the logit that parts the classes best; scores are shifted so that it
+is DECISION. A document's score is that of the networks' mean logit.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm import _text
-from tidelog.llm._learn import Adam, fold, sampled_ids, sigmoid
+from tidelog.llm._learn import Adam, fold, logistic, sampled_ids, sigmoid
+from tidelog.llm._stage import long_rows
 from tidelog.llm._text import Words, chunks, named
 
-#: Words of a passage, and most labelled documents of either class that training takes.
-PASSAGE, MOST_LABELLED = 64, 1500
+#: Words of a passage, most labelled documents of either class that training takes, and most passages of each of them.
+PASSAGE, MOST_LABELLED, MOST_PASSAGES = 64, 1500, 64
+#: Networks, and the score from which on label 1 is likelier.
+FOLDS, DECISION = 4, 0.7
 #: Size of the encoding and of the attention layer.
 HIDDEN, ATTENTION = 32, 16
 _CLASSES = 129  # each ASCII byte, and all others
@@ -89,7 +96,8 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray) -> dict
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, bounds[:-1]), np.diff(bounds)))
     a = e / np.repeat(_sum_of(bounds, e), np.diff(bounds))
     z = _sum_of(bounds, a[:, None] * h)
-    return {"h": h, "t": t, "g": g, "a": a, "z": z, "score": sigmoid(z @ m["c"] + m["cb"][0])}
+    logit = z @ m["c"] + m["cb"][0]
+    return {"h": h, "t": t, "g": g, "a": a, "z": z, "logit": logit, "score": sigmoid(logit)}
 
 
 def slopes(m: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -105,9 +113,13 @@ def slopes(m: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray, y: np.nd
     return {"w": x.T @ dh, "wb": dh.sum(0), "v": f["h"].T @ dt, "vb": dt.sum(0), "u": f["h"].T @ dg, "ub": dg.sum(0), "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "cb": d.sum(keepdims=True)}
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.006, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """The model of labelled bags (passages x WIDTH each); rows are weighted to their classes' true shares."""
-    rng = np.random.default_rng(7)
+def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rounds: int = 600, batch: int = 32, rate: float = 0.006, decay: float = 3e-3, seed: int = 7) -> dict[str, np.ndarray]:
+    """One network of labelled bags (passages x WIDTH each); rows are weighted to their classes' true shares.
+
+    All bags are gone through 15 times at least, and more often where that is fewer than `rounds` steps.
+    """
+    epochs = max(15, -(-rounds * batch // len(bags)))
+    rng = np.random.default_rng(seed)
     every = np.concatenate(bags)
     centre, scale = every.mean(axis=0), every.std(axis=0) + 0.02
     small = lambda *size: rng.normal(0, 1 / np.sqrt(size[0]), size)
@@ -125,41 +137,70 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int
     return m | {"centre": centre, "scale": scale}
 
 
+def logits(networks: list[dict[str, np.ndarray]], x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Mean logit of the networks for bags that each have a passage."""
+    return np.mean([forward(m, (x - m["centre"]) / m["scale"], bounds)["logit"] for m in networks], axis=0)
+
+
+def train_folds(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict:
+    """{networks, shift}: networks that each leave out one fold, and what is added to their mean logit."""
+    part = np.zeros(len(bags), int)
+    for k in (0, 1):  # each fold has its share of either class
+        part[y == k] = np.arange(int((y == k).sum())) % FOLDS
+    networks, seen = [], np.zeros(len(bags))
+    for k in range(FOLDS):
+        own, out = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(set(y[own])) < 2:
+            own = np.arange(len(bags))
+        networks.append(train([bags[i] for i in own], y[own], weight[own], seed=7 + k))
+        if len(out):
+            seen[out] = logits(networks[-1:], np.concatenate([bags[i] for i in out]), np.r_[0, np.cumsum([len(bags[i]) for i in out])])
+    slope, bias = logistic(seen, y, weight)
+    at = np.clip(-bias / slope, seen.min(), seen.max()) if slope > 0 else 0.0
+    return {"networks": networks, "shift": float(np.log(DECISION / (1 - DECISION)) - at)}
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             x, bounds = passages(_text.words(named(part, "text")))
-            yield pa.record_batch([named(part, "quality"), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["quality", "passages"])
+            taken = [np.unique(np.linspace(a, b - 1, min(b - a, MOST_PASSAGES)).astype(int)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.record_batch([named(part, "_id").cast(pa.string()), named(part, "quality"), pa.array([x[i].astype(np.float32).tobytes() for i in taken], pa.binary())], ["id", "quality", "passages"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_column: str = "doc_id") -> dict[str, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, id_column: str = "doc_id") -> dict | None:
     """The model of a corpus and its labels (`quality` 0 or 1), learnt from the ids that `learnable` admits.
 
-    At most MOST_LABELLED documents of each class are read, whole, and weighted back to the classes'
-    shares; None if a class has no document.
+    At most MOST_LABELLED documents of each class are read, of each at most MOST_PASSAGES passages at
+    even distances, and weighted back to the classes' shares; None if a class has no document. Ids with
+    both labels are left out; of several texts of one id the one with the least MD5 is taken, and an id
+    that is labelled often counts once. The model depends on the rows alone, not on how they are dealt.
     """
     admitted = labels if learnable is None else labels.filter(learnable)
-    counts = {r.quality: r["count"] for r in admitted.filter("quality IN (0, 1)").groupBy("quality").count().collect()}
+    each = admitted.filter("quality IN (0, 1)").groupBy(id_column).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).filter("quality = _most")
+    counts = {r.quality: r["count"] for r in each.groupBy("quality").count().collect()}
     if len(counts) < 2:
         return None
-    chosen = [sampled_ids(admitted.filter(F.col("quality") == k), id_column, MOST_LABELLED).withColumn("quality", F.lit(k)) for k in (0, 1)]
-    rows = docs.select(F.col(id_column).alias("_id"), "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id").mapInArrow(_sample_rows, "quality int, passages binary").toArrow()
+    chosen = [sampled_ids(each.filter(F.col("quality") == k), id_column, MOST_LABELLED).withColumn("quality", F.lit(k)) for k in (0, 1)]
+    found = long_rows(docs).select(F.col(id_column).alias("_id"), "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "_id")
+    found = found.groupBy("_id", "quality").agg(F.min_by("text", F.md5("text")).alias("text"))
+    rows = found.mapInArrow(_sample_rows, "id string, quality int, passages binary").toArrow().sort_by("id")
     pairs = [(k, np.frombuffer(x, np.float32).reshape(-1, WIDTH)) for k, x in zip(rows.column("quality").to_pylist(), rows.column("passages").to_pylist(), strict=True) if x]
     y = np.array([k for k, _ in pairs], float)
     if len(set(y)) < 2:
         return None
     share = counts[1] / (counts[0] + counts[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return train([x for _, x in pairs], y, weight)
+    return train_folds([x for _, x in pairs], y, weight)
 
 
-def score(df: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
+def score(df: DataFrame, model: dict | None) -> DataFrame:
     """The rows with `quality_score`, 0 to 1 (a column of this name is replaced).
 
     All passages of whole texts are read. Null texts and texts without words score 0. Without a
     model all other texts score 1. An empty table gives an empty table.
     """
-    df = df.drop("quality_score")
+    df = long_rows(df.drop("quality_score"))
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
 
@@ -174,7 +215,7 @@ def score(df: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
                     out[some] = 1
                 elif some.any():
                     x, bounds = passages(found)
-                    out[some] = forward(m, (x - m["centre"]) / m["scale"], np.r_[bounds[:-1][some], bounds[-1]])["score"]
+                    out[some] = sigmoid(logits(m["networks"], x, np.r_[bounds[:-1][some], bounds[-1]]) + m["shift"])
                 yield pa.record_batch([*(named(part, x) for x in names), pa.array(out)], [*names, "quality_score"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("quality_score", T.DoubleType())]))

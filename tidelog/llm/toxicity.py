@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from tidelog.llm import _text
 from tidelog.llm._learn import Adam, fold, sampled_ids, sigmoid
-from tidelog.llm._text import Words, chunks, mix, named, rolled
+from tidelog.llm._stage import long_rows, unused
+from tidelog.llm._text import Words, chunks, mix, named
 
 #: Hashed features; most toxic and most unlabelled documents that training takes.
 FEATURE_BITS, MOST_TOXIC, MOST_UNLABELLED = 20, 2000, 6000
@@ -38,7 +39,7 @@ def features(found: Words) -> np.ndarray:
         if first is None:
             hashes = found.hashes
         else:
-            hashes = rolled(_text._BYTES[found.data], found.starts, np.minimum(found.starts + first, found.ends))
+            hashes = _text.beginnings(found.data, found.starts, found.ends, first)
         out.append((mix(hashes + np.uint64(kind)) & width).astype(np.int32))
     return np.array(out)
 
@@ -86,7 +87,7 @@ def _count_rows(wanted: np.ndarray):
 
 def counts_of(docs: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents (column `text`, lower case) each of the wanted features is, and how many documents there are."""
-    rows = docs.select("text").mapInArrow(_count_rows(wanted), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    rows = long_rows(docs).select("text").mapInArrow(_count_rows(wanted), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     feature, n = rows.column("feature").to_numpy(), rows.column("n").to_numpy()
     out = np.zeros(1 << FEATURE_BITS, np.int64)
     out[feature[feature >= 0]] = n[feature >= 0]
@@ -170,10 +171,10 @@ def score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     Whole texts are read. Null and empty texts have no features: their score is that of the bias. An
     empty table gives an empty table.
     """
-    df = df.drop("toxicity")
+    df = long_rows(df.drop("toxicity"))
     weights, bias = model
     shared = df.sparkSession.sparkContext.broadcast((np.flatnonzero(weights).astype(np.int32), weights[np.flatnonzero(weights)], bias))
-    names = df.columns
+    names, lower = df.columns, unused(df, "_lower")
     held: list[np.ndarray] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +183,8 @@ def score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             held.append(np.zeros(1 << FEATURE_BITS, np.float32))
             held[0][used] = values
         for batch in batches:
-            for part in chunks(batch, "_lower"):
-                found = _text.words(named(part, "_lower"))
+            for part in chunks(batch, lower):
+                found = _text.words(named(part, lower))
                 every = features(found)
                 kind, word = np.nonzero(held[0][every])
                 owner = np.searchsorted(found.bounds, word, "right") - 1
@@ -191,7 +192,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 margin = np.bincount(pairs >> 32, held[0][pairs & 0xFFFFFFFF], part.num_rows) + offset
                 yield pa.record_batch([*(named(part, x) for x in names), pa.array(sigmoid(margin))], [*names, "toxicity"])
 
-    return df.withColumn("_lower", F.lower("text")).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return df.withColumn(lower, F.lower("text")).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("toxicity", T.DoubleType())]))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold_out: int = 0, id_column: str = "doc_id") -> DataFrame:
