@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
@@ -57,6 +57,28 @@ def as_events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def as_streamed_events(conversations: DataFrame) -> DataFrame:
+    """The same rows as the events of a streamed log that folds to them.
+
+    By turns a text comes in two deltas, as a draft that is edited, or as a draft that is regenerated
+    and streamed anew. Rows of one conversation and turn are messages one after the other.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition("conv_id")
+    tie = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    whole, first, second, draft = F.col("text"), F.left("text", half), F.substring(F.col("text"), half + 1, F.length("text")), F.lit("Let me ### think </turn>")
+
+    def events(*steps: tuple[str, Column]) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(steps)))
+
+    streamed = events(("message", first), ("delta", second))
+    edited = events(("message", draft), ("edit", whole))
+    anew = events(("message", draft), ("delta", draft), ("regenerate", F.lit("")), ("delta", first), ("delta", second))
+    way = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(3))
+    each = rows.withColumn("_tie", tie).withColumn("_event", F.explode(F.when(way == 0, streamed).when(way == 1, edited).otherwise(anew)))
+    return each.select("conv_id", F.col("turn").alias("message"), (F.col("_tie") * 8 + F.col("_event.step")).cast("long").alias("seq"), "_event.kind", "role", "_event.text")
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 1024):

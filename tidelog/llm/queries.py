@@ -45,7 +45,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_chats(chat.as_events(chats.union(extra))))
+    return chat.digests(chat.format_chats(chat.as_streamed_events(chats.union(extra))))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
