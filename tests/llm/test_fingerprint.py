@@ -1,7 +1,11 @@
 import hashlib
 import random
+import struct
 from collections import Counter
 
+import regex
+import xxhash
+
 from tidelog.llm import fingerprint, queries
 
 
@@ -48,3 +52,77 @@ def test_odd_rows(spark):
     assert all(by_text.setdefault(r.text or "", r.fingerprint) == r.fingerprint for r in prints)
     assert fingerprint.edited_fingerprints(df.limit(0)).count() == 0
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
+
+
+def hashed(raw, seed=42):
+    return xxhash.xxh64_intdigest(raw, seed=seed % (1 << 64))
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def terms_of(text):
+    return {signed(hashed(w.encode())) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+
+def chained(values, kind, seed):
+    out = 42
+    for v in values:
+        out = hashed(struct.pack("<q", v), out)
+    return hashed(struct.pack(kind, seed), out)
+
+
+def plain_print(terms, words):
+    """The fingerprint of a set of terms, subset by subset."""
+    kept = sorted(terms & words)
+    digits = lambda x: f"{x:016X}"[:6]
+    every = 0
+    for x in terms:
+        every ^= hashed(struct.pack("<q", x))
+    parts = [digits(chained(kept, "<i", 0)) if kept else digits(every) if terms else "-"]
+    rows = [kept] * fingerprint.PER_LEVEL
+    for level in range(1, fingerprint.LEVELS + 1):
+        rows = [[x for x in row if not hashed(struct.pack("<i", n), hashed(struct.pack("<q", x))) >> (level - 1) & 1] for n, row in enumerate(rows)]
+        parts += [digits(chained(row, "<i", level * fingerprint.PER_LEVEL + n)) if row else "-" for n, row in enumerate(rows)]
+    return parts
+
+
+def plain_likeness(a, b):
+    for level in range(fingerprint.LEVELS, -1, -1):
+        count = fingerprint.PER_LEVEL if level else 1
+        begin = 1 + (level - 1) * count if level else 0
+        pairs = [(x, y) for x, y in zip(a[begin : begin + count], b[begin : begin + count]) if (x, y) != ("-", "-")]
+        if len(pairs) * 4 >= count * 3:
+            return sum(x == y for x, y in pairs) / max(1, len(pairs))
+    return float(a == b)
+
+
+def test_fingerprints_against_a_plain_version(spark, sf_dir):
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(10**6, "Zqxone zqxtwo."), (10**6 + 1, "zqxtwo, ZQXone!"), (10**6 + 2, "zqxthree"), (10**6 + 3, "...")]
+    counts = Counter(t for _, text in docs for t in terms_of(text))
+    low, high = (max(2, len(docs) * share) for share in (fingerprint.LEAST_SHARE, fingerprint.MOST_SHARE))
+    words = {t for t, n in counts.items() if low <= n <= high}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {r.h for r in fingerprint.lexicon(df).collect()} == words
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(df).collect()}
+    order = sorted(docs, reverse=True)
+    prints = {}
+    for i, text in docs:
+        prints[i] = plain_print(terms_of(text), words)
+        assert got[i].fingerprint == ".".join(prints[i]), i
+    for (i, text), (after, more) in zip(order, order[1:] + order[:1]):
+        take = len(text) // 3
+        edited = plain_print(terms_of(text[: len(text) - take] + more[:take]), words)
+        assert got[i].edited_fingerprint == ".".join(edited), i
+        assert abs(got[i].near_edited - plain_likeness(prints[i], edited)) < 1e-12
+        assert abs(got[i].near_next - plain_likeness(prints[i], prints[after])) < 1e-12
+    assert got[10**6].fingerprint == got[10**6 + 1].fingerprint != got[10**6 + 2].fingerprint
+
+
+def test_long_text_and_reserved_names(spark):
+    df = spark.createDataFrame([(1, "many words here " * 150_000, 5, 6), (2, "few words", 5, 6)], "doc_id long, text string, _key int, k int")
+    rows = fingerprint.fingerprints(df).collect()
+    assert {(r._key, r.k) for r in rows} == {(5, 6)} and len(rows) == 2
+    assert fingerprint.edited_fingerprints(df).count() == 2

@@ -4,7 +4,8 @@ The lexicon is the terms whose document frequency, as a share of all documents,
 is a band of inverse document frequencies. A document's terms are sorted and hashed through a row of
 lexicon subsets: level 0 is the whole lexicon, and each of PER_LEVEL subsets at level l keeps a random
 half of what it kept at level l - 1. The fingerprint is the hashes of all subsets, "-" where a document
-has no term in one. Short texts compare on full subsets, long ones on sparse ones, where single terms
+has no term in one. Where a document has terms, but none of the lexicon, all its terms make level 0, so
+that only equal sets of terms are alike. Short texts compare on full subsets, long ones on sparse ones, where single terms
 decide, so that part of a text can change without changing every hash.
 
 Terms are held as 64-bit hashes. A lexicon has at most (distinct terms per document) / LEAST_SHARE
@@ -42,7 +43,7 @@ def lexicon(df: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE)
 
 
 def found_terms(df: DataFrame, key: str, columns: list[str], words: DataFrame) -> DataFrame:
-    """(key, <column>_found ...): the sorted terms of each text that are in the lexicon; no row where none is.
+    """(key, <column>_found, <column>_all ...): the sorted terms of each text that are in the lexicon, and a hash of all its terms; no row where no text has any.
 
     If `df` is partitioned by the key and the lexicon broadcast, nothing is shuffled.
     """
@@ -51,23 +52,28 @@ def found_terms(df: DataFrame, key: str, columns: list[str], words: DataFrame) -
 
     each = [marked(c, k) for k, c in enumerate(columns)]
     rows = df.select(key, F.explode(F.concat(*each)).alias("t")).select(key, F.col("t.h").alias("h"), F.col("t.of").alias("of"))
-    hits = rows.join(F.broadcast(words) if words.count() <= BROADCAST_TERMS else words, "h")
-    return hits.groupBy(key).agg(*(F.sort_array(F.collect_list(F.when(F.col("of") == k, F.col("h")))).alias(f"{c}_found") for k, c in enumerate(columns)))
+    marked_words = words.withColumn("known", F.lit(True))
+    hits = rows.join(F.broadcast(marked_words) if words.count() <= BROADCAST_TERMS else marked_words, "h", "left")
+    known = [F.sort_array(F.collect_list(F.when((F.col("of") == k) & F.col("known"), F.col("h")))).alias(f"{c}_found") for k, c in enumerate(columns)]
+    return hits.groupBy(key).agg(*known, *(F.bit_xor(F.when(F.col("of") == k, F.xxhash64("h"))).alias(f"{c}_all") for k, c in enumerate(columns)))
+
+
+def _digits(hashed: Column) -> Column:
+    return F.substring(F.lpad(F.hex(hashed), 16, "0"), 1, 6)
 
 
 def _print(kept: Column, seed: int) -> Column:
-    digest = F.substring(F.lpad(F.hex(F.xxhash64(kept, F.lit(seed))), 16, "0"), 1, 6)
-    return F.when(F.size(kept) == 0, F.lit(_EMPTY)).otherwise(digest)
+    return F.when(F.size(kept) == 0, F.lit(_EMPTY)).otherwise(_digits(F.xxhash64(kept, F.lit(seed))))
 
 
 def _halved(kept: Column, level: int, number: int) -> Column:
     return F.filter(kept, lambda x: F.xxhash64(x, F.lit(number)).bitwiseAND(F.lit(1 << (level - 1))) == 0)
 
 
-def with_fingerprint(df: DataFrame, found: str, name: str) -> DataFrame:
-    """The rows with the fingerprint of the sorted terms in column `found` (null: none), which is dropped."""
-    df = df.withColumn("_kept_0", F.coalesce(F.col(found), F.array().cast("array<long>"))).drop(found)
-    parts = [_print(F.col("_kept_0"), 0)]
+def with_fingerprint(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with the fingerprint of what found_terms gave for a column (null: no terms), which is dropped."""
+    df = df.withColumns({"_kept_0": F.coalesce(F.col(f"{column}_found"), F.array().cast("array<long>")), "_kept_all": F.col(f"{column}_all")}).drop(f"{column}_found", f"{column}_all")
+    parts = [F.when(F.size("_kept_0") > 0, _print(F.col("_kept_0"), 0)).otherwise(F.coalesce(_digits(F.col("_kept_all")), F.lit(_EMPTY)))]
     for level in range(1, LEVELS + 1):
         source = [F.col(f"_kept_{level - 1}_{n}" if level > 1 else "_kept_0") for n in range(PER_LEVEL)]
         df = df.withColumns({f"_kept_{level}_{n}": _halved(source[n], level, n) for n in range(PER_LEVEL)})
@@ -95,15 +101,15 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(df: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """The rows with `fingerprint` of column `text` (a column of this name is replaced).
 
-    Equal texts have equal fingerprints. Null counts as an empty text; without a term of the lexicon
-    all parts are "-". An empty table gives an empty table.
+    Equal texts have equal fingerprints. Null counts as an empty text; without any term all parts are
+    "-". An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = df.drop("fingerprint")
     words = table(lexicon(df.select(text.alias("text")), least, most))
-    keyed = df.withColumn("_key", F.md5(text))
-    found = found_terms(keyed.select("_key", text.alias("_text")).dropDuplicates(["_key"]), "_key", ["_text"], words)
-    return with_fingerprint(keyed.join(found, "_key", "left"), "_text_found", "fingerprint").drop("_key").select(*df.columns, "fingerprint")
+    keyed = df.select(F.struct("*").alias("row"), F.md5(text).alias("_key"))
+    found = found_terms(df.select(F.md5(text).alias("_key"), text.alias("_text")).dropDuplicates(["_key"]), "_key", ["_text"], words)
+    return with_fingerprint(keyed.join(found, "_key", "left"), "_text", "fingerprint").select("row.*", "fingerprint")
 
 
 def followers(ids: DataFrame, order: list[Column], key: str = "k") -> DataFrame:
@@ -141,7 +147,7 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     rows = docs.select("k", "text").repartition("k")  # the one shuffle of whole texts; all that follows keeps to it
     pairs = table(followers(slim, [F.col("id").desc_nulls_last(), F.col("k")]))
 
-    own = with_fingerprint(rows.join(found_terms(rows, "k", ["text"], words), "k", "left"), "text_found", "print")
+    own = with_fingerprint(rows.join(found_terms(rows, "k", ["text"], words), "k", "left"), "text", "print")
     needs = pairs.select(F.col("next_key").alias("k"), F.col("k").alias("taker"), "id", "n_chars", F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
     # each document sends its fingerprint to itself too, so that nobody's is made twice; as one struct, so that both uses below read one shuffle
     def sent(to: str, *fields: Column) -> Column:
@@ -160,6 +166,6 @@ def edited_fingerprints(df: DataFrame, id_column: str = "doc_id") -> DataFrame:
     both = both.select("k", "gift.id", "gift.n_chars", edited.alias("edited"), "fingerprint", "gift.next_print")
     found = found_terms(both, "k", ["edited"], words)
     out = both.select("k", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_print").join(found, "k", "left")
-    out = with_fingerprint(out, "edited_found", "edited_fingerprint")
+    out = with_fingerprint(out, "edited", "edited_fingerprint")
     near = [likeness(F.col("fingerprint"), F.col(x)) for x in ("edited_fingerprint", "next_print")]
     return out.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
