@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidelog.llm._stage import long_rows
 from tidelog.llm._text import chunks, named
 
 #: Pieces of at most MEMO_BYTES are merged in rows and remembered, MEMO_PIECES of them at most in each Python worker.
@@ -207,7 +208,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     No special tokens: their strings are ordinary text. Null and empty texts have no ids. All bytes
     must have a rank, as in any byte-level vocabulary. An empty table gives an empty table.
     """
-    df = df.drop("n_tokens", "ids")
+    df = long_rows(df.drop("n_tokens", "ids"))
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
     names = df.columns
     made: list[Encoder] = []
@@ -228,7 +229,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], column: str = "ids") -> DataF
 
     An id that the vocabulary lacks fails the task.
     """
-    df = df.drop("decoded")
+    df = long_rows(df.drop("decoded"))
     shared = df.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
     names = df.columns
 

@@ -65,12 +65,13 @@ def numbered(df: DataFrame, shard: str = "shard", columns: tuple[str, ...] | Non
     same rows give the same numbers in every run. `columns` are those that the order looks at (all).
     """
     df = df.drop("slot")
-    names = list(columns or [x for x in df.columns if x != shard])
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int"))
-    sums = counted.groupBy(shard, "_part").agg(F.sum("_n").alias("_sum"))
-    before = sums.select(shard, "_part", (F.sum("_sum").over(Window.partitionBy(shard).orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = Window.partitionBy(shard, "_part").orderBy(*names)
-    first = counted.join(before, [shard, "_part"]).withColumn("_first", F.col("_before") + F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
-    runs = first.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
-    last = F.least(F.col("_n"), (F.col("_run") + 1) * RUN) - 1
-    return runs.withColumn("slot", F.explode(F.sequence(F.col("_run") * RUN, last))).withColumn("slot", F.col("slot") + F.col("_first")).select(*df.columns, "slot")
+    names = [f"row.{x}" for x in columns or [x for x in df.columns if x != shard]]
+    counted = df.select(F.struct("*").alias("row")).groupBy("row").agg(F.count("*").alias("n"))
+    counted = counted.select("row", "n", F.col(f"row.{shard}").alias("shard"), F.pmod(F.xxhash64(*names), F.lit(PARTS)).cast("int").alias("part"))
+    sums = counted.groupBy("shard", "part").agg(F.sum("n").alias("sum"))
+    before = sums.select("shard", "part", (F.sum("sum").over(Window.partitionBy("shard").orderBy("part")) - F.col("sum")).alias("before"))
+    inside = Window.partitionBy("shard", "part").orderBy(*names)
+    first = counted.join(before, ["shard", "part"]).withColumn("first", F.col("before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    return runs.withColumn("slot", F.explode(F.sequence(F.col("run") * RUN, last))).select("row.*", (F.col("slot") + F.col("first")).alias("slot"))
