@@ -358,7 +358,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", size: int = 5, thr
     roots = components(links, tables)
     more = tables.table(_remaining_links(buckets.select("bucket", "node", "bytes"), middle, roots, texts, tested, tables, size, threshold))
     if not more.isEmpty():
-        roots = components(links.union(more), tables)
+        stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(stars.union(more), tables)
     tables.keep_only(rows, nodes, roots)
     labelled = nodes.join(roots, "node", "left").select("node", "first_id", "n", F.coalesce("root", "node").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
