@@ -29,7 +29,7 @@ def recall(spark, x, k=20, every=20):
     return hits / total, min(len(got[i]) for i in range(0, len(x), every))
 
 
-@pytest.mark.parametrize("kind", ["one 1% longer", "one 10x longer", "one 100x longer", "unequal", "wide"])
+@pytest.mark.parametrize("kind", ["one 1% longer", "one 10x longer", "one 100x longer", "unequal", "wide", "clustered"])
 def test_recall_of_unequal_lengths_and_wide_vectors(spark, kind):
     rng = np.random.default_rng(0)
     x = given(spark)
@@ -38,6 +38,8 @@ def test_recall_of_unequal_lengths_and_wide_vectors(spark, kind):
     elif kind == "wide":
         x = rng.normal(size=(2000, 256))
         x /= np.linalg.norm(x, axis=1)[:, None]
+    elif kind == "clustered":
+        x = rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] + 0.4 * rng.normal(size=(4000, 64))
     else:
         x[7] *= {"one 1% longer": 1.01, "one 10x longer": 10, "one 100x longer": 100}[kind]
     found, _ = recall(spark, x)
