@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidelog.operators.sequence import read_prefix, with_sequence
-from tidelog.stage import shared_folder
+from tidelog.stage import is_there, shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
     are taken to stay as they are while the application runs.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
+    if key not in _STORED or not is_there(spark, _STORED[key][0]):
         df = make().sortWithinPartitions(*order)
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)

@@ -25,9 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{context.applicationId}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, whichever that is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _place(spark, path)
+    files.delete(where, True)
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
 
 
 class Tables:
