@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tidelog.llm import _text, neardup
+from tidelog.llm._stage import Tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,3 +169,22 @@ def test_distances_obey_the_triangle_inequality():
         x, y, z = (Counter(rng.choices("abcdefgh", k=rng.randrange(1, 20))) for _ in "xyz")
         for f in (plain, weighted):
             assert 1 - f(x, z) <= 2 - f(x, y) - f(y, z) + 1e-9
+
+
+@pytest.mark.parametrize("kind", ["chain", "stars", "random", "none"])
+def test_components_against_union(spark, kind):
+    rng = np.random.default_rng(5)
+    edges = {
+        "chain": [(i, i + 1) for i in range(40)] + [(100, 100)],
+        "stars": [(0, i) for i in range(1, 30)] + [(60, i) for i in range(50, 60)],
+        "random": rng.integers(0, 120, (90, 2)).tolist(),
+        "none": [],
+    }[kind]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([(f"{a:04d}", f"{b:04d}") for a, b in edges], "a string, b string")
+    found = neardup.components(df, Tables(spark)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"{a:04d}", f"{b:04d}") for a, b in root.items())

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import _text
@@ -229,25 +229,23 @@ def _near(threshold: float) -> Column:
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) of every node on an edge (a, b); the root is the least node of the connected component.
 
-    Alternates the large star and the small star of every node until the edges stay as they are;
-    each round's edges are written to the shared folder, and those of the round before deleted.
+    Alternates the large star and the small star of every node until only stars are left, that is, until
+    every node is either a root or on one edge to a root; each round's edges are written to the shared
+    folder, and those of the round before deleted.
     """
     edges = tables.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b")
-        seen, old = Observation(), edges
-        edges = tables.table(small.distinct().observe(seen, F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)).alias("all")))
+        old, edges = edges, tables.table(small.distinct())
         tables.drop(old)
-        now = seen.get
-        if now == before:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up + down > 1").isEmpty():
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
             return tables.table(roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct())
-        before = now
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
