@@ -16,6 +16,16 @@ def deliveries(pulls: DataFrame) -> DataFrame:
     return pulls.withColumn("_step", steps).select(*CONSUMER, (F.col("first_pull") + F.col("_step")).alias("pull_seq"), (F.col("first_msg") + F.col("_step")).alias("seq"), F.col("ts").alias("pull_ts"))
 
 
+def shuffled(delivered: DataFrame) -> DataFrame:
+    """Deliveries to be joined by sorting: Spark takes them to be no more than the pulls they are exploded from, and would broadcast them."""
+    return delivered.hint("merge")
+
+
+def with_messages(delivered: DataFrame, log: DataFrame, *columns: str) -> DataFrame:
+    """Deliveries with columns of their messages."""
+    return shuffled(delivered).join(log.select("subject", "seq", *columns), ["subject", "seq"])
+
+
 def assigned(taken: DataFrame, order: str, broadcast: Column) -> DataFrame:
     """Messages taken by consumers (first_msg, last_msg) with their places in the consumer's pulls.
 

@@ -114,7 +114,7 @@ def a20_replay_lag(spark, sf):
 
 @query(LOGS + 'SELECT subject, "group", count(*) AS n, CAST(max(epoch_us(d.pull_ts) - epoch_us(m.create_time)) AS BIGINT) AS longest FROM deliveries d JOIN messages m USING (subject, seq) GROUP BY 1, 2')
 def a21_consumer_latency(spark, sf):
-    rows = delivery.deliveries(logs.pulls(spark, sf)).join(logs.messages(spark, sf).select("subject", "seq", "create_time"), ["subject", "seq"])
+    rows = delivery.with_messages(delivery.deliveries(logs.pulls(spark, sf)), logs.messages(spark, sf), "create_time")
     late = F.unix_micros(F.col("pull_ts").cast("timestamp")) - F.unix_micros(F.col("create_time").cast("timestamp"))
     return rows.groupBy("subject", "group").agg(F.count("*").alias("n"), F.max(late).alias("longest"))
 
