@@ -7,6 +7,7 @@ from tidelog.plans import catalog
 #: Queries that join pulled messages, which are twenty times as many as the pulls that Spark takes their size from.
 EXPLODED = [
     "a21_consumer_latency",
+    "a21_consumer_metrics",
 ]
 
 

@@ -228,7 +228,7 @@ def a20_replayers(spark, sf):
 @query(LOGS + """SELECT subject, "group", count(*) AS n, CAST(max(epoch_us(d.pull_ts) // 1000 - epoch_us(m.create_time) // 1000) AS BIGINT) AS longest_delay, CAST(sum(k) AS BIGINT) AS handled_ms, max(k) AS longest_ms, CAST(count(*) FILTER (k % 11 = 0) AS BIGINT) AS failures
 FROM deliveries d JOIN messages m USING (subject, seq) GROUP BY 1, 2""")
 def a21_consumer_metrics(spark, sf):
-    rows = delivery.deliveries(logs.pulls(spark, sf)).join(logs.messages(spark, sf).select("subject", "seq", "create_time", "k"), ["subject", "seq"])
+    rows = delivery.with_messages(delivery.deliveries(logs.pulls(spark, sf)), logs.messages(spark, sf), "create_time", "k")
     return metrics.consumption(rows, ["subject", "group"], "create_time", "pull_ts", F.col("k"), F.col("k") % 11 == 0)
 
 
