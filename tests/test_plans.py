@@ -8,6 +8,7 @@ from tidelog.plans import catalog
 EXPLODED = [
     "a21_consumer_latency",
     "a21_consumer_metrics",
+    "j1_pull_translation",
 ]
 
 

@@ -39,7 +39,7 @@ def assigned(taken: DataFrame, order: str, broadcast: Column) -> DataFrame:
 
 def translated(requests: DataFrame, delivered: DataFrame) -> DataFrame:
     """Wanted (consumer, pull_seq) with the message's sequence, -1 where nothing was pulled there."""
-    return requests.join(delivered.select(*CONSUMER, "pull_seq", "seq"), [*CONSUMER, "pull_seq"], "left").withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
+    return requests.join(shuffled(delivered).select(*CONSUMER, "pull_seq", "seq"), [*CONSUMER, "pull_seq"], "left").withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
 
 
 def acked_places(acks: DataFrame) -> DataFrame:
