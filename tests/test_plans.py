@@ -9,6 +9,7 @@ EXPLODED = [
     "a21_consumer_latency",
     "a21_consumer_metrics",
     "j1_pull_translation",
+    "j3_payload_lookup",
 ]
 
 

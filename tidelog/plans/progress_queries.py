@@ -134,7 +134,7 @@ def j1_pull_translation(spark, sf):
 
 @query(LOGS + "SELECT d.subject, d.\"group\", d.pull_seq, m.message_id, d.consumer_id FROM deliveries d JOIN messages m USING (subject, seq)")
 def j3_payload_lookup(spark, sf):
-    rows = delivery.deliveries(logs.pulls(spark, sf)).join(logs.messages(spark, sf).select("subject", "seq", "message_id"), ["subject", "seq"])
+    rows = delivery.with_messages(delivery.deliveries(logs.pulls(spark, sf)), logs.messages(spark, sf), "message_id")
     return rows.select(*_CONSUMER, "pull_seq", "message_id")
 
 
