@@ -10,6 +10,7 @@ EXPLODED = [
     "a21_consumer_metrics",
     "j1_pull_translation",
     "j3_payload_lookup",
+    "j4_ack_records",
 ]
 
 

@@ -49,7 +49,7 @@ def acked_places(acks: DataFrame) -> DataFrame:
 
 def ack_records(acks: DataFrame, delivered: DataFrame) -> DataFrame:
     """Acked messages by their sequence; acks of places that were never pulled are dropped."""
-    return acked_places(acks).join(delivered, [*CONSUMER, "pull_seq"])
+    return acked_places(acks).join(shuffled(delivered), [*CONSUMER, "pull_seq"])
 
 
 def records(pulls: DataFrame, acks: DataFrame) -> DataFrame:
