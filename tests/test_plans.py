@@ -11,6 +11,7 @@ EXPLODED = [
     "j1_pull_translation",
     "j3_payload_lookup",
     "j4_ack_records",
+    "j5_h5_trail",
 ]
 
 
