@@ -12,6 +12,7 @@ EXPLODED = [
     "j3_payload_lookup",
     "j4_ack_records",
     "j5_h5_trail",
+    "k11_record_decode",
 ]
 
 
