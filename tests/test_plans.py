@@ -13,6 +13,7 @@ EXPLODED = [
     "j4_ack_records",
     "j5_h5_trail",
     "k11_record_decode",
+    "p12_silent_to_retry",
 ]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import subjects
+from tidelog.operators.delivery import shuffled
 from tidelog.operators.progress import CONSUMER
 
 
@@ -38,7 +39,7 @@ def retry_action(delay_ms: Column, times: Column, max_retry: Column, local: int
 def of_silent(delivered: DataFrame, progress: DataFrame, status: DataFrame) -> DataFrame:
     """Messages that consumers who are not online have pulled and not acked, under the retry subject of their group."""
     silent = status.filter("status <> 'online'").select(*CONSUMER).join(progress.select(*CONSUMER, "ack"), CONSUMER)
-    left = delivered.join(silent, CONSUMER).filter(F.col("pull_seq") > F.col("ack"))
+    left = shuffled(delivered).join(silent, CONSUMER).filter(F.col("pull_seq") > F.col("ack"))
     return left.select(subjects.retry_subject(F.col("subject"), F.col("group")).alias("subject"), "consumer_id", "pull_seq", "seq")
 
 
