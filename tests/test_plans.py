@@ -14,6 +14,7 @@ EXPLODED = [
     "j5_h5_trail",
     "k11_record_decode",
     "p12_silent_to_retry",
+    "p2_redelivery",
 ]
 
 

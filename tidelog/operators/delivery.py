@@ -84,7 +84,7 @@ def unacked_run(delivered: DataFrame, progress: DataFrame, readable: DataFrame)
 
     Unreadable messages before the run are skipped and count as acked; those behind a hole wait.
     """
-    pending = delivered.join(progress.select(*CONSUMER, "ack"), CONSUMER).filter(F.col("pull_seq") > F.col("ack"))
+    pending = shuffled(delivered).join(progress.select(*CONSUMER, "ack"), CONSUMER).filter(F.col("pull_seq") > F.col("ack"))
     good = ranges(pending.join(readable, ["subject", "seq"], "left_semi"), CONSUMER, "pull_seq")
     first = good.groupBy(*CONSUMER).agg(F.min_by(F.struct("lo", "hi", "n"), "lo").alias("run"))
     return first.join(progress.select(*CONSUMER, "ack"), CONSUMER).select(*CONSUMER, "run.lo", "run.hi", "run.n", (F.col("run.lo") - F.col("ack") - 1).alias("skipped"))
