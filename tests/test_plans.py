@@ -15,6 +15,7 @@ EXPLODED = [
     "k11_record_decode",
     "p12_silent_to_retry",
     "p2_redelivery",
+    "p7_lost_to_retry",
 ]
 
 

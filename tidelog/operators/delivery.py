@@ -75,7 +75,7 @@ def duplicate_acks(acks: DataFrame) -> DataFrame:
 def sent_to_retry(acks: DataFrame, delivered: DataFrame) -> DataFrame:
     """Messages of lost acks, under the retry subject of their group."""
     missing = lost_acks(acks).withColumn("pull_seq", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    found = missing.join(delivered, [*CONSUMER, "pull_seq"])
+    found = missing.join(shuffled(delivered), [*CONSUMER, "pull_seq"])
     return found.select(subjects.retry_subject(F.col("subject"), F.col("group")).alias("subject"), "consumer_id", "pull_seq", "seq")
 
 
