@@ -16,6 +16,7 @@ EXPLODED = [
     "p12_silent_to_retry",
     "p2_redelivery",
     "p7_lost_to_retry",
+    "snk12_record_history",
 ]
 
 
