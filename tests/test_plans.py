@@ -42,3 +42,8 @@ def test_exploded_rows_are_not_broadcast(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan
     assert not [x for x in broadcast_rows(plan) if x.startswith("Generate explode")]
+
+
+def test_pulls_again_are_found_by_sorting(spark, sf_dir):
+    plan = catalog.QUERIES["src17_p1_pull"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=merge)" in plan
