@@ -165,6 +165,16 @@ def test_sketched_quantiles_are_near_in_rank(spark):
         assert abs((values <= found).mean() - p) < 0.001
 
 
+def test_exact_quantiles_are_those_of_sorting(spark):
+    rng = np.random.default_rng(6)
+    tables = {"many": rng.lognormal(0, 2, 30_000), "ties": np.r_[np.full(700, 3.0), rng.normal(0, 9, 300)], "one": np.array([-1.5]), "same": np.full(400, 2.5), "few": np.arange(4.0)}
+    rows = [(tag, float(v)) for tag, values in tables.items() for v in values] + [("ties", None), ("none", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "tag string, v double")
+    found = {r.tag: tuple(r)[1:] for r in metrics.timer(df, ["tag"], "v", exact=True).collect()}
+    want = {tag: (len(v), *(float(np.sort(v)[max(-(-len(v) * per // 100), 1) - 1]) for per in (50, 75, 99))) for tag, v in tables.items()}
+    assert found == want | {"none": (0, None, None, None), None: (1, 7.0, 7.0, 7.0)}
+
+
 def test_metrics_are_observed_on_the_way(spark):
     df, seen = metrics.observed(spark.range(10), "run", rows=F.count("*"), last=F.max("id"))
     assert df.filter("id > 3").count() == 6 and seen.get == {"rows": 10, "last": 9}

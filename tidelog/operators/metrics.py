@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from decimal import Decimal
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.sequence import with_carried
+
 
 def counter(df: DataFrame, tags: list[str], amount: Column | None = None) -> DataFrame:
     return df.groupBy(*tags).agg((F.count("*") if amount is None else F.sum(amount)).alias("total"))
@@ -15,10 +21,34 @@ def meter(df: DataFrame, tags: list[str], time: str, amount: Column) -> DataFram
     return df.groupBy(*tags, F.date_trunc("minute", time).alias("minute")).agg(F.count("*").alias("marks"), F.sum(amount).alias("amount"))
 
 
+def quantiles(df: DataFrame, tags: list[str], value: str, shares: dict[str, str]) -> DataFrame:
+    """(tags, n, a column for each named share): the least value that at least this share of the values does not exceed; exact. It takes one tag or more.
+
+    A sketch gives two cuts about each share. Values between cuts are counted, and only those of the
+    parts that hold a wanted place are put in order, so a tag with most of the rows is no burden. The
+    cuts decide how many values are sorted, not what is found.
+    """
+    near = [min(max(float(s) + side, 0.0), 1.0) for s in shares.values() for side in (-0.0005, 0.0005)]
+    cuts = df.groupBy(*tags).agg(F.count(value).alias("n"), F.percentile_approx(value, near, 10_000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value))) + F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    distinct = df.groupBy(*tags, value).agg(F.count(value).alias("_times"))
+    parted = with_carried(distinct, cuts, tags).withColumn("_part", F.when(F.col(value).isNotNull(), below)).drop("_cuts")
+    places = {name: F.greatest(F.ceil(F.col("n").cast("decimal(20,0)") * F.lit(Decimal(s))).cast("long"), F.lit(1)) for name, s in shares.items()}
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*tags).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parted.groupBy(*tags, "_part").agg(F.sum("_times").alias("_size"), F.max("n").alias("_n")).withColumn("_before", before)
+    held = [(p > F.col("_before")) & (p <= F.col("_before") + F.col("_size")) for p in places.values()]
+    # values that are null have a part of their own, so that tags without others stay
+    wanted = parts.withColumn("n", F.col("_n")).filter(reduce(or_, held) | F.col("_part").isNull()).select(*tags, "_part", "_before")
+    upto = F.col("_before") + F.sum("_times").over(Window.partitionBy(*tags, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = with_carried(parted, wanted, [*tags, "_part"]).withColumn("_upto", upto)
+    return placed.groupBy(*tags).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("_upto") >= place, F.col(value))).alias(name) for name, place in places.items()))
+
+
 def timer(df: DataFrame, tags: list[str], value: str, exact: bool = False) -> DataFrame:
-    """(tags, n, p50, p75, p99): quantiles by sketch, or exact ones by sorting."""
-    quantiles = F.percentile(value, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.99))) if exact else F.percentile_approx(value, [0.5, 0.75, 0.99], 10_000)
-    found = df.groupBy(*tags).agg(F.count(value).alias("n"), quantiles.alias("q"))
+    """(tags, n, p50, p75, p99): quantiles by sketch, or exact ones."""
+    if exact:
+        return quantiles(df, tags, value, {"p50": "0.5", "p75": "0.75", "p99": "0.99"})
+    found = df.groupBy(*tags).agg(F.count(value).alias("n"), F.percentile_approx(value, [0.5, 0.75, 0.99], 10_000).alias("q"))
     return found.select(*tags, "n", *(F.element_at("q", i + 1).alias(x) for i, x in enumerate(("p50", "p75", "p99"))))
 
 

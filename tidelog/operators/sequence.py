@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SEGMENT = 1 << 20
 
 
-def _with_carried(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def with_carried(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """The rows with the other columns of `small`, one row per keys; null keys meet null keys."""
     right = small.select(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)), *(c for c in small.columns if c not in keys))
     same = [df[k].eqNullSafe(right[f"_r{i}"]) for i, k in enumerate(keys)]
@@ -32,7 +32,7 @@ def _running(df: DataFrame, keys: list[str], order: list[str], name: str, inner:
     before = cut.groupBy(*keys, "_segment").agg(total.alias("_total")).withColumn("_carry", carry(F.col("_total")).over(per_key)).drop("_total")
     inside = inner.over(Window.partitionBy(*keys, "_segment").orderBy(*order).rowsBetween(*frame))
     numbered = cut.withColumn("_inside", inside)
-    return _with_carried(numbered, before, [*keys, "_segment"]).withColumn(name, both(F.col("_carry"), F.col("_inside"))).drop("_segment", "_carry", "_inside")
+    return with_carried(numbered, before, [*keys, "_segment"]).withColumn(name, both(F.col("_carry"), F.col("_inside"))).drop("_segment", "_carry", "_inside")
 
 
 _BEFORE, _UPTO = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
@@ -120,7 +120,7 @@ def page(df: DataFrame, key: str, size: int, after: str | None = None) -> DataFr
 def as_one_result(parts: DataFrame, keys: list[str], lo: str, n: str) -> DataFrame:
     """Ranges read for one request as one result: `part` counts them in order, `upto` their messages, `start` is where the first begins."""
     numbered = running_sum(with_sequence(parts, keys, lo, "part"), keys, [lo], n, "upto")
-    return _with_carried(numbered, parts.groupBy(*keys).agg(F.min(lo).alias("start")), keys)
+    return with_carried(numbered, parts.groupBy(*keys).agg(F.min(lo).alias("start")), keys)
 
 
 def latest_of_batch(df: DataFrame, batch: list[str], offset: str, value: str) -> DataFrame:
