@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidelog.llm.substring import remove_repeats
+from tidelog.llm.substring import remove_repeats, repeated_sketch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -67,3 +67,11 @@ def test_query_against_sql(spark, sf_dir):
     from tidelog.llm import queries
 
     oracle.check(spark, queries.op10_substring_dedup, queries.ORACLES["op10_substring_dedup"], sf_dir)
+
+
+def test_sketch_passes_the_driver_compressed(spark):
+    passage = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(i, f"{passage} end{i}") for i in range(3)], "doc_id long, text string")
+    numbers, blocks = repeated_sketch(df)
+    # unpacked, a block is 32 KB
+    assert len(numbers) == len(blocks) > 100 and sum(map(len, blocks)) < 1000 * len(numbers)

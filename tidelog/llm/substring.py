@@ -11,7 +11,7 @@ position in seven is an anchor.
    earliest of each task, shuffled by hash and ranked by (doc_id, start). All but the first go.
 
 The merged sketch has `depth` rows of 2**`bits` cells, of which one bit each ("twice or more") is
-broadcast: 64 MB at the defaults, whatever the input. A corpus with many more anchors than cells
+broadcast, compressed: 64 MB at the defaults, whatever the input. A corpus with many more anchors than cells
 only makes the prefilter let more windows through; results stay exact.
 """
 
@@ -112,27 +112,33 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             twice[at] |= once[at] | (values & np.uint32(1)).astype(bool)
             once[at] = True
     if twice.any():
-        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["block", "twice"])
+        yield pa.record_batch([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 6)], pa.binary())], ["block", "twice"])
 
 
-def repeated_sketch(df: DataFrame, window: int = 20, bits: int = 27, depth: int = 4) -> tuple[np.ndarray, bytes]:
-    """Numbers of the blocks that have cells of two or more, and those blocks, a bit for each cell: depth * 2**bits bits at most."""
+def repeated_sketch(df: DataFrame, window: int = 20, bits: int = 27, depth: int = 4) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of the blocks that have cells of two or more, and those blocks, a bit for each cell: depth * 2**bits bits at most.
+
+    Blocks stay compressed, as they pass through the driver; tasks unpack them.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _merged(batches)
 
     rows = df.select("text").mapInArrow(_partial_sketches(window, bits, depth), "block int, cells binary").groupBy("block").applyInArrow(merge, "block int, twice binary").collect()
-    return np.array([row.block for row in rows], np.int64), b"".join(row.twice for row in rows)
+    return np.array([row.block for row in rows], np.int64), [bytes(row.twice) for row in rows]
 
 
 class _Sketch:
     """Answers, inside a task, whether an anchor is estimated to occur twice or more."""
 
-    def __init__(self, blocks: np.ndarray, packed: bytes, bits: int, depth: int) -> None:
+    def __init__(self, blocks: np.ndarray, packed: list[bytes], bits: int, depth: int) -> None:
         self.bits, self.depth, self.each = bits, depth, 1 << max(0, bits - _BLOCK_BITS)
         self.slot = np.full(depth * self.each, -1, np.int64)
         self.slot[blocks] = np.arange(len(blocks))
-        self.packed = np.frombuffer(packed, np.uint8)
+        each = 1 << (_BLOCK_BITS - 3)
+        self.packed = np.empty(len(packed) * each, np.uint8)
+        for i, block in enumerate(packed):
+            self.packed[i * each : (i + 1) * each] = np.frombuffer(zlib.decompress(block), np.uint8)
 
     def twice(self, grams: np.ndarray) -> np.ndarray:
         found = np.arange(len(grams))
