@@ -47,3 +47,12 @@ def test_exploded_rows_are_not_broadcast(spark, sf_dir, name):
 def test_pulls_again_are_found_by_sorting(spark, sf_dir):
     plan = catalog.QUERIES["src17_p1_pull"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "leftHint=(strategy=merge)" in plan
+
+
+@pytest.mark.parametrize("name", ["p2_redelivery", "src17_p1_pull"])
+def test_readable_messages_are_not_broadcast(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    lines = plan.splitlines()  # broadcasts stand below the aggregates of others, too
+    each = [x for i, line in enumerate(lines) if "BroadcastExchange" in line for x in broadcast_rows("\n".join(lines[i:]))]
+    assert not [x for x in each if x.startswith("FileScan")]

@@ -16,9 +16,13 @@ def deliveries(pulls: DataFrame) -> DataFrame:
     return pulls.withColumn("_step", steps).select(*CONSUMER, (F.col("first_pull") + F.col("_step")).alias("pull_seq"), (F.col("first_msg") + F.col("_step")).alias("seq"), F.col("ts").alias("pull_ts"))
 
 
-def shuffled(delivered: DataFrame) -> DataFrame:
-    """Deliveries to be joined by sorting: Spark takes them to be no more than the pulls they are exploded from, and would broadcast them."""
-    return delivered.hint("merge")
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Deliveries or messages to be joined by sorting.
+
+    Spark takes deliveries to be no more than the pulls they are exploded from, and messages to be as
+    large as their compressed columns, and would broadcast both.
+    """
+    return rows.hint("merge")
 
 
 def with_messages(delivered: DataFrame, log: DataFrame, *columns: str) -> DataFrame:
@@ -85,7 +89,7 @@ def unacked_run(delivered: DataFrame, progress: DataFrame, readable: DataFrame)
     Unreadable messages before the run are skipped and count as acked; those behind a hole wait.
     """
     pending = shuffled(delivered).join(progress.select(*CONSUMER, "ack"), CONSUMER).filter(F.col("pull_seq") > F.col("ack"))
-    good = ranges(pending.join(readable, ["subject", "seq"], "left_semi"), CONSUMER, "pull_seq")
+    good = ranges(pending.join(shuffled(readable), ["subject", "seq"], "left_semi"), CONSUMER, "pull_seq")
     first = good.groupBy(*CONSUMER).agg(F.min_by(F.struct("lo", "hi", "n"), "lo").alias("run"))
     return first.join(progress.select(*CONSUMER, "ack"), CONSUMER).select(*CONSUMER, "run.lo", "run.hi", "run.n", (F.col("run.lo") - F.col("ack") - 1).alias("skipped"))
 
